@@ -41,3 +41,17 @@ def shared_path(spark: SparkSession, name: str) -> str:
     prepare(spark)
     base = spark.sparkContext.getCheckpointDir() or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}-{name}"
+
+
+def bounded_sample(rows: DataFrame, id_col: str, text_col: str, most_rows: int, most_bytes: int) -> list:
+    """Rows for fitting a model: at most ``most_rows`` in hash order of their id, and so
+    few of those that their texts stay near ``most_bytes``. Ids are picked before any text moves.
+    """
+    prepare(rows.sparkSession)
+    while True:
+        ids = rows.select(F.col(id_col).alias("pick")).where("pick IS NOT NULL").orderBy(F.xxhash64("pick"), "pick").limit(most_rows)
+        got = rows.join(F.broadcast(ids), F.col(id_col) == F.col("pick"), "left_semi").checkpoint()
+        n, size = got.agg(F.count("*"), F.sum(F.octet_length(text_col))).first()
+        if n <= 1 or (size or 0) <= 1.5 * most_bytes:
+            return got.orderBy(F.xxhash64(id_col), id_col).collect() if n else []
+        most_rows = max(1, int(min(n, most_rows) * most_bytes / size))

@@ -5,13 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from palimpsest.llm._common import table
+from palimpsest.llm._common import crc32_mod, table
 from palimpsest.llm.decontaminate import contamination
 from palimpsest.llm.exact_dedup import exact_duplicates
 from palimpsest.llm.packing import pack_documents
 from palimpsest.llm.simhash import near_duplicates
 from palimpsest.llm.token_counts import token_counts
+from palimpsest.llm.toxicity import Model, toxicity, train
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -36,12 +38,23 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def toxicity_model(spark: SparkSession, sf_dir: str) -> Model:
+    """Fit on labelled documents that are not held out."""
+    seen = crc32_mod(F.col("doc_id"), 4) != 2
+    return train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").where(seen))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = toxicity(table(spark, sf_dir, "documents"), toxicity_model(spark, sf_dir))
+    return out.withColumn("held_out", crc32_mod(F.col("doc_id"), 4) == 2)
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_token_counts, op4_exact_dedup, op5_simhash, op6_decontamination, op10_packing)
+    f.__name__: f for f in (op2_token_counts, op4_exact_dedup, op5_simhash, op6_decontamination, op7_toxicity, op10_packing)
 }
 
 ORACLE_SQL: dict[str, str] = {
