@@ -11,8 +11,9 @@ from palimpsest.llm._common import shared_path, table
 from palimpsest.llm.decontaminate import contamination
 from palimpsest.llm.exact_dedup import exact_duplicates
 from palimpsest.llm.packing import pack_documents
-from palimpsest.llm.queries import tokenizer_path
+from palimpsest.llm.queries import tokenizer_path, toxicity_model
 from palimpsest.llm.simhash import near_duplicates
+from palimpsest.llm.toxicity import keep_clean
 
 #: Toxicity and packing are not expressible in SQL.
 ORACLE_SQL = None
@@ -24,6 +25,11 @@ def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(keep, F.col("doc_id").eqNullSafe(F.col("keep")), "left_semi")
 
 
+def nontoxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents predicted toxic (score from 0.3 on) go; the model is that of the toxicity query."""
+    return keep_clean(docs, toxicity_model(spark, sf_dir))
+
+
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the largest doc_id stays."""
     return _only(docs, exact_duplicates(docs).where("kept"))
@@ -45,6 +51,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", nontoxic),
     ("exact_dedup", exact),
     ("near_dedup", near),
     ("decontamination", clean),
