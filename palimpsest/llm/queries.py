@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palimpsest.llm import langid, quality
 from palimpsest.llm._common import crc32_mod, table
 from palimpsest.llm.decontaminate import contamination
 from palimpsest.llm.exact_dedup import exact_duplicates
 from palimpsest.llm.packing import pack_documents
+from palimpsest.llm.preference import preference_pairs
 from palimpsest.llm.simhash import near_duplicates
 from palimpsest.llm.token_counts import token_counts
 from palimpsest.llm.toxicity import Model, toxicity, train
@@ -22,10 +24,38 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.train(docs.where(crc32_mod(F.col("doc_id"), 3) != 1))
+    out = langid.language_spans(docs, model)
+    digest = [F.size("spans").alias("n_spans"), F.to_json("spans").alias("spans")]
+    return out.select("doc_id", (crc32_mod(F.col("doc_id"), 3) == 1).alias("held_out"), "lang_pred", "score", *digest)
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op3_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each conversation against itself with its last assistant turn taken from the next one.
+
+    The table marks no preferences, so the rejected side is made up: its last assistant turn
+    is that of conversation conv_id + 1, or missing if there is none.
+    """
+    turns = table(spark, sf_dir, "conversations").where("conv_id IS NOT NULL")
+    last = turns.where("role = 'assistant'").groupBy("conv_id").agg(F.max(F.struct("turn", "text")).alias("last"))
+    other = last.select((F.col("conv_id") - 1).alias("conv_id"), F.col("last.text").alias("other"), F.lit(True).alias("there"))
+    own = turns.join(last.select("conv_id", F.col("last.turn").alias("at")), "conv_id", "left").join(other, "conv_id", "left")
+    swap = F.coalesce((F.col("turn") == F.col("at")) & (F.col("role") == "assistant"), F.lit(False))
+    chosen = turns.select((F.col("conv_id") * 2).alias("conv_id"), "turn", "role", "text")
+    rejected = own.where(~swap | F.col("there")).select((F.col("conv_id") * 2 + 1).alias("conv_id"), "turn", "role", F.when(swap, F.col("other")).otherwise(F.col("text")).alias("text"))
+    ids = turns.select("conv_id").distinct()
+    pairs = ids.select(F.col("conv_id").alias("pair_id"), (F.col("conv_id") * 2).alias("chosen_id"), (F.col("conv_id") * 2 + 1).alias("rejected_id"))
+    out = preference_pairs(chosen.union(rejected), pairs)
+    listed = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws("-", x.s.cast("string"), x.e.cast("string"))), ",").alias(c)
+    return out.select("pair_id", "n_common", "n_chosen", "n_rejected", "prompt", "chosen", "rejected", listed("chosen_loss"), listed("rejected_loss"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"))
 
@@ -49,15 +79,58 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("held_out", crc32_mod(F.col("doc_id"), 4) == 2)
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grades: 0 low quality, 1 good but toxic, 2 good; rows whose crc32(doc_id) mod 5 is 3 are held out."""
+    docs = table(spark, sf_dir, "documents")
+    grade = F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).when(F.col("toxic") == 0, 2)
+    rated = table(spark, sf_dir, "labels").where(crc32_mod(F.col("doc_id"), 5) != 3).select("doc_id", grade.alias("grade"))
+    out = quality.quality(docs, quality.train(docs, rated, grades=3), tail=1)
+    return out.withColumn("held_out", crc32_mod(F.col("doc_id"), 5) == 3)
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_token_counts, op4_exact_dedup, op5_simhash, op6_decontamination, op7_toxicity, op10_packing)
+    f.__name__: f
+    for f in (
+        op1_language_id,
+        op2_token_counts,
+        op3_preference_format,
+        op4_exact_dedup,
+        op5_simhash,
+        op6_decontamination,
+        op7_toxicity,
+        op9_quality,
+        op10_packing,
+    )
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_preference_format": r"""
+        WITH t AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+        last AS (SELECT conv_id, max(turn) AS at, max_by(text, turn) AS text FROM t WHERE role = 'assistant' GROUP BY conv_id),
+        s AS (SELECT conv_id, 0 AS side, turn, role, text FROM t
+              UNION ALL SELECT t.conv_id, 1, t.turn, t.role, CASE WHEN t.turn = l.at AND t.role = 'assistant' THEN n.text ELSE t.text END
+              FROM t LEFT JOIN last l ON t.conv_id = l.conv_id LEFT JOIN last n ON n.conv_id = t.conv_id + 1
+              WHERE NOT coalesce(t.turn = l.at AND t.role = 'assistant', false) OR n.conv_id IS NOT NULL),
+        p AS (SELECT *, row_number() OVER (PARTITION BY conv_id, side ORDER BY turn, role, text) AS pos FROM s),
+        m AS (SELECT conv_id, pos, bool_and(role = role0 AND text = text0) AND count(*) = 2 AS same
+              FROM (SELECT *, first_value(role) OVER w AS role0, first_value(text) OVER w AS text0 FROM p WINDOW w AS (PARTITION BY conv_id, pos ORDER BY side)) GROUP BY conv_id, pos),
+        c AS (SELECT conv_id, coalesce(min(CASE WHEN NOT same THEN pos END) - 1, count(*)) AS n_common FROM m GROUP BY conv_id),
+        r AS (SELECT p.*, n_common, '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS shown FROM p JOIN c USING (conv_id)),
+        o AS (SELECT *, sum(CASE WHEN pos > n_common THEN length(shown) ELSE 0 END) OVER (PARTITION BY conv_id, side ORDER BY pos) AS e FROM r),
+        f AS (SELECT *, (e - length(text) - 8) || '-' || e AS span FROM o)
+        SELECT conv_id AS pair_id, any_value(n_common) AS n_common,
+               count(*) FILTER (side = 0 AND pos > n_common) AS n_chosen, count(*) FILTER (side = 1 AND pos > n_common) AS n_rejected,
+               coalesce(string_agg(shown, '' ORDER BY pos) FILTER (side = 0 AND pos <= n_common), '') AS prompt,
+               coalesce(string_agg(shown, '' ORDER BY pos) FILTER (side = 0 AND pos > n_common), '') AS chosen,
+               coalesce(string_agg(shown, '' ORDER BY pos) FILTER (side = 1 AND pos > n_common), '') AS rejected,
+               coalesce(string_agg(span, ',' ORDER BY pos) FILTER (side = 0 AND pos > n_common AND role = 'assistant'), '') AS chosen_loss,
+               coalesce(string_agg(span, ',' ORDER BY pos) FILTER (side = 1 AND pos > n_common AND role = 'assistant'), '') AS rejected_loss
+        FROM f GROUP BY conv_id
+    """,
     "op4_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
                doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
