@@ -14,6 +14,7 @@ from palimpsest.llm.exact_dedup import exact_duplicates
 from palimpsest.llm.packing import pack_documents
 from palimpsest.llm.preference import preference_pairs
 from palimpsest.llm.simhash import near_duplicates
+from palimpsest.llm.suffix_dedup import repeated_bytes
 from palimpsest.llm.token_counts import token_counts
 from palimpsest.llm.toxicity import Model, toxicity, train
 
@@ -79,6 +80,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("held_out", crc32_mod(F.col("doc_id"), 4) == 2)
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_bytes(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Grades: 0 low quality, 1 good but toxic, 2 good; rows whose crc32(doc_id) mod 5 is 3 are held out."""
     docs = table(spark, sf_dir, "documents")
@@ -102,6 +107,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op5_simhash,
         op6_decontamination,
         op7_toxicity,
+        op8_suffix_dedup,
         op9_quality,
         op10_packing,
     )
@@ -151,4 +157,18 @@ ORACLE_SQL: dict[str, str] = {
                sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
         FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)
     """,
+    "op8_suffix_dedup": """
+        WITH d AS (SELECT doc_id, lower(hex(encode(coalesce(text, '')))) AS h, strlen(coalesce(text, '')) AS n FROM documents),
+        w AS (SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS s FROM d, unnest(range(0, n - 49)) AS u(i) WHERE n >= 50),
+        f AS (SELECT s, min(doc_id) AS least FROM w GROUP BY s HAVING count(DISTINCT doc_id) > 1),
+        m AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM w JOIN f USING (s) WHERE doc_id > least),
+        r AS (SELECT doc_id, i, sum(CASE WHEN before IS NULL OR i > before + 50 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM m),
+        x AS (SELECT doc_id, run, min(i) AS s, max(i) + 50 AS e FROM r GROUP BY doc_id, run),
+        k AS (SELECT doc_id, e AS s, lead(s) OVER (PARTITION BY doc_id ORDER BY s) AS e FROM x
+              UNION ALL SELECT doc_id, 0, min(s) FROM x GROUP BY doc_id),
+        t AS (SELECT doc_id, string_agg(substr(h, 2 * s + 1, 2 * (coalesce(e, n) - s)), '' ORDER BY s) AS kept FROM k JOIN d USING (doc_id) GROUP BY doc_id),
+        c AS (SELECT doc_id, sum(e - s) AS n_removed, count(*) AS n_spans FROM x GROUP BY doc_id)
+        SELECT doc_id, n AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
+        FROM d LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)
+    """,
 }
