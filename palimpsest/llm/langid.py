@@ -95,6 +95,8 @@ class Model:
 def fit(rows: list[tuple[str, str]], penalty: float = 4.0, least: int = 2, most_words: int = 50_000) -> Model:
     """Learn from (text, lang) rows; ``most_words`` bounds the known words and trigrams kept."""
     langs = sorted({lang for _, lang in rows})
+    if not langs:
+        return Model([], penalty=penalty)
     index = {lang: i for i, lang in enumerate(langs)}
     words: list[Counter] = [Counter() for _ in langs]
     for text, lang in rows:
@@ -193,7 +195,7 @@ class Labeller(dict):
                 pieces.append((d, s, min(len(a), s + BLOCK), s - lo))
                 places.append(rows[d][a[lo:hi]])
         size = np.array([len(p) for p in places], np.int64)
-        first = np.concatenate(([0], np.cumsum(size)[:-1])).astype(np.int64)
+        first = np.cumsum(size) - size
         labels = viterbi(self.table[np.concatenate(places)], first, size, self.model.penalty) if places else np.empty(0, np.int8)
         out = [np.empty(len(a), np.int8) for a in at]
         for (d, s, e, skip), f in zip(pieces, first.tolist(), strict=True):

@@ -133,7 +133,7 @@ def fit(rows: list[tuple[str | None, int]], grades: int, buckets: int = 1 << 17,
     return Model(w.astype(np.float32), thresholds())
 
 
-def train(docs: DataFrame, ratings: DataFrame, grades: int, id_col: str = "doc_id", text_col: str = "text", grade_col: str = "grade", most_rows: int = 8000, most_bytes: int = 32 << 20, **options: float) -> Model:
+def train(docs: DataFrame, ratings: DataFrame, grades: int, id_col: str = "doc_id", text_col: str = "text", grade_col: str = "grade", most_rows: int = 6000, most_bytes: int = 24 << 20, **options: float) -> Model:
     """Fit on a bounded sample of rated rows: ``most_rows`` documents, about ``most_bytes`` of text.
 
     Null ids and grades and grades outside 0..grades-1 are not used; of an id rated more
