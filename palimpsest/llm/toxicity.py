@@ -109,9 +109,9 @@ class _Net:
 
     def __init__(self, words: list[str], buckets: int, dim: int, seed: int) -> None:
         rng = np.random.default_rng(seed)
-        lists = [grams(w[:64], buckets) if w else [] for w in words]
-        self.count = np.array([len(x) for x in lists], np.int64)
-        self.flat = np.fromiter((g for x in lists for g in x), np.int64, int(self.count.sum()))
+        size = np.array([min(len(w), 64) for w in words], np.int64)
+        self.count = np.where(size > 0, 1 + sum(np.maximum(size + 3 - n, 0) for n in range(3, 6)), 0)
+        self.flat = np.fromiter((g for w in words if w for g in grams(w[:64], buckets)), np.int32, int(self.count.sum()))
         self.begin = np.concatenate(([0], np.cumsum(self.count)))[:-1]
         self.v = rng.normal(0, 0.1, (buckets, dim))
         self.w, self.b = rng.normal(0, 0.1, (dim, 2)), np.zeros(2)
@@ -194,7 +194,7 @@ def fit(rows: list[tuple[str | None, int]], window: int = 8, buckets: int = 1 <<
 
     sample = rng.permutation(zeros)[:negatives]
     pick = np.concatenate((ones, sample))
-    passes = max(1, min(4, 12_000 // len(rows)))  # few rows are gone through more often
+    passes = max(1, min(4, 8000 // len(rows)))  # few rows are gone through more often
     net.train(windows[pick], label[pick], np.ones(len(pick)), epochs=passes)
     for _ in range(2):
         z = logit_of(ones)
@@ -209,8 +209,10 @@ def fit(rows: list[tuple[str | None, int]], window: int = 8, buckets: int = 1 <<
         net.train(windows[pick], label[pick], weight, epochs=passes)
     logits, bias = net.logits()
     model = Model(logits, bias, window, 1.0, 0.0)
+    del net, number, windows
     scorer = model.scorer()
-    x, y = scorer.highest([t for t, _ in rows]), np.array([v for _, v in rows])
+    x = np.concatenate([scorer.highest([t for t, _ in rows[i : i + 128]]) for i in range(0, len(rows), 128)])
+    y = np.array([v for _, v in rows])
     model.slope, model.shift = _calibrate(x, y)
     return model
 
@@ -229,7 +231,7 @@ def _calibrate(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(beta[0] / sd), float(beta[1] - beta[0] * mean / sd)
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_rows: int = 12_000, most_bytes: int = 48 << 20, **options: int) -> Model:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_rows: int = 8000, most_bytes: int = 32 << 20, **options: int) -> Model:
     """Fit on a bounded sample of the labelled rows: ``most_rows`` documents, about ``most_bytes`` of text.
 
     Rows with a null id or label are not used; of repeated ids each text counts.
