@@ -16,7 +16,7 @@ _PARENT = "CASE WHEN regexp_replace(path, '/[^/]*$', '') = '' THEN '/' ELSE rege
 
 
 def _all(v: Virtual) -> DataFrame:
-    return tree.walk(v.root_snapshots().where("id = 'all'"), v.nodes())
+    return tree.walk(v.root_snapshots().where("id = 'all'"), v.stored_nodes())
 
 
 def _roots(v: Virtual) -> DataFrame:
@@ -33,12 +33,12 @@ _USED = {
 
 @query("SELECT snapshot_id, path, CAST(depth AS INTEGER) AS depth, type, size FROM walk")
 def t1_walk(v: Virtual) -> DataFrame:
-    return tree.walk(v.root_snapshots(), v.nodes()).select("snapshot_id", "path", "depth", "type", "size")
+    return tree.walk(v.root_snapshots(), v.stored_nodes()).select("snapshot_id", "path", "depth", "type", "size")
 
 
 @query("SELECT tree_id FROM used_trees", **_USED)
 def t2_reachable_trees(v: Virtual) -> DataFrame:
-    return tree.reachable_trees(_roots(v), v.nodes())
+    return tree.reachable_trees(_roots(v), v.stored_nodes())
 
 
 @query("SELECT 'n' || n_nationkey AS tree_id, count(*) AS entries FROM nation JOIN region ON n_regionkey = r_regionkey JOIN customer ON c_nationkey = n_nationkey WHERE n_nationkey = (SELECT min(n_nationkey) FROM nation) GROUP BY n_nationkey")
@@ -64,7 +64,7 @@ def t5_dual_trees(v: Virtual) -> DataFrame:
 
 @query("SELECT blob_type, blob_id FROM used", **_USED)
 def t6_used_blobs(v: Virtual) -> DataFrame:
-    return tree.used_blobs(_roots(v), v.nodes())
+    return tree.used_blobs(_roots(v), v.stored_nodes())
 
 
 @query("SELECT DISTINCT blob_id AS tree_id FROM index_blobs WHERE blob_type = 'tree' AND blob_id NOT IN (SELECT subtree FROM nodes WHERE subtree IS NOT NULL AND NOT (tree_id LIKE 'n%' AND CAST(substr(subtree, 2) AS BIGINT) % 17 = 3)) AND blob_id NOT IN (SELECT 'r' || r_regionkey FROM region WHERE r_regionkey = 0)")
@@ -76,7 +76,7 @@ def t7_unreferenced_roots(v: Virtual) -> DataFrame:
 
 @query("SELECT snapshot_id, inode, device_id, path FROM (SELECT *, row_number() OVER (PARTITION BY snapshot_id, inode, device_id ORDER BY string_split(path, '/')) AS nr FROM walk WHERE type <> 'dir' AND links > 1 AND inode <> 0) WHERE nr = 1")
 def t8_hardlinks(v: Virtual) -> DataFrame:
-    return tree.hardlinks(tree.walk(v.root_snapshots(), v.nodes())).select("snapshot_id", "inode", "device_id", "path")
+    return tree.hardlinks(tree.walk(v.root_snapshots(), v.stored_nodes())).select("snapshot_id", "inode", "device_id", "path")
 
 
 _FOLDER = "(SELECT '/' || r_name FROM region ORDER BY r_regionkey LIMIT 1)"
@@ -96,14 +96,14 @@ def t9_ls_recursive(v: Virtual) -> DataFrame:
 
 @query(f"SELECT snapshot_id, path FROM walk WHERE regexp_matches({_NAME}, '^o[0-9]*7\\.f$') AND mtime >= TIMESTAMP '1996-01-01' AND mtime <= TIMESTAMP '1997-12-31'")
 def t10_find_pattern(v: Virtual) -> DataFrame:
-    found = tree.find_paths(v.root_snapshots(), v.nodes(), ["o*7.f"], oldest="1996-01-01", newest="1997-12-31")
+    found = tree.find_paths(v.root_snapshots(), v.stored_nodes(), ["o*7.f"], oldest="1996-01-01", newest="1997-12-31")
     return found.select("snapshot_id", "path")
 
 
 @query(f"SELECT path FROM walk WHERE snapshot_id = 'all' AND starts_with(path, {_FOLDER} || '/') AND depth >= 3 AND regexp_matches(path, '^/[^/]*/[^/]*/[^/]*1(/.*)?$')")
 def t10_find_rooted(v: Virtual) -> DataFrame:
     folder = "/" + v.table("region").orderBy("r_regionkey").first().r_name
-    return tree.find_paths(v.root_snapshots().where("id = 'all'"), v.nodes(), [f"{folder}/*/*1"]).select("path")
+    return tree.find_paths(v.root_snapshots().where("id = 'all'"), v.stored_nodes(), [f"{folder}/*/*1"]).select("path")
 
 
 @query(f"SELECT path, regexp_matches(lower({_NAME}), '^o[0-9]*[0-4]\\.[fp]$') AND NOT regexp_matches(path, '(^|/)[^/]*9(/.*)?$') OR regexp_matches(path, '^/.*/o1[^/]*(/.*)?$') AS matched FROM walk WHERE snapshot_id = 'all'")
@@ -115,19 +115,19 @@ def f11_f13_pattern_list(v: Virtual) -> DataFrame:
 @query("SELECT snapshot_id, path, content_pos - 1 AS content_pos, blob_id FROM (SELECT snapshot_id, path, unnest(content) AS blob_id, generate_subscripts(content, 1) AS content_pos FROM walk WHERE type = 'file') WHERE blob_id IN ('b1', 'b7', 'b42')")
 def t11_find_blob(v: Virtual) -> DataFrame:
     ids = v.spark.createDataFrame([("b1",), ("b7",), ("b42",)], "blob_id string")
-    return tree.find_blobs(tree.walk(v.root_snapshots(), v.nodes()), ids).select("snapshot_id", "path", F.col("content_pos").cast("long").alias("content_pos"), "blob_id")
+    return tree.find_blobs(tree.walk(v.root_snapshots(), v.stored_nodes()), ids).select("snapshot_id", "path", F.col("content_pos").cast("long").alias("content_pos"), "blob_id")
 
 
 @query("SELECT snapshot_id, path, subtree AS tree_id FROM walk WHERE subtree IN ('r1', 'n3', 'c9') UNION ALL SELECT id, '/', tree FROM root_snapshots WHERE tree IN ('r1', 'n3', 'c9')")
 def t12_find_tree(v: Virtual) -> DataFrame:
     ids = v.spark.createDataFrame([("r1",), ("n3",), ("c9",)], "tree_id string")
-    return tree.find_trees(v.root_snapshots(), tree.walk(v.root_snapshots(), v.nodes()), ids)
+    return tree.find_trees(v.root_snapshots(), tree.walk(v.root_snapshots(), v.stored_nodes()), ids)
 
 
 @query("SELECT snapshot_id, path, count(*) AS blobs FROM (SELECT snapshot_id, path, unnest(content) AS blob_id FROM walk WHERE type = 'file') WHERE blob_id IN (SELECT blob_id FROM index_blobs WHERE pack_id = 'p3') GROUP BY snapshot_id, path")
 def t13_find_pack(v: Virtual) -> DataFrame:
     blobs = tree.blobs_of_packs(v.index_blobs(), v.spark.createDataFrame([("p3",)], "pack_id string"))
-    return tree.find_blobs(tree.walk(v.root_snapshots(), v.nodes()), blobs).groupBy("snapshot_id", "path").agg(F.count("*").alias("blobs"))
+    return tree.find_blobs(tree.walk(v.root_snapshots(), v.stored_nodes()), blobs).groupBy("snapshot_id", "path").agg(F.count("*").alias("blobs"))
 
 
 @query("SELECT blob_type, blob_id, min(pack_id) AS pack_id FROM index_blobs WHERE blob_type = 'data' GROUP BY ALL")
@@ -149,7 +149,7 @@ def t16_read_range(v: Virtual) -> DataFrame:
 
 @query("SELECT DISTINCT pack_id FROM index_blobs JOIN used USING (blob_type, blob_id)", **_USED)
 def g8_c10_packs_of_snapshots(v: Virtual) -> DataFrame:
-    return check.packs_of_snapshots(_roots(v), v.nodes(), v.index_blobs())
+    return check.packs_of_snapshots(_roots(v), v.stored_nodes(), v.index_blobs())
 
 
 @query("SELECT path, size, regexp_extract(path, '(\\.[^./]*)$', 1) AS extension FROM walk WHERE snapshot_id = 'all'")
@@ -182,7 +182,7 @@ def d1_diff_paths(v: Virtual) -> DataFrame:
 def _versioned(v: Virtual, cut: dict, tag: str) -> DataFrame:
     """Nodes of a version with subtree ids of its own, so that no folder counts as equal."""
     own = lambda c: F.when((F.col(c) == "root") | F.col(c).isNull(), F.col(c)).otherwise(F.concat(F.col(c), F.lit(tag)))
-    return v.nodes(**cut).withColumns({"tree_id": own("tree_id"), "subtree": own("subtree")})
+    return v.stored_nodes(**cut).withColumns({"tree_id": own("tree_id"), "subtree": own("subtree")})
 
 
 @query(
@@ -206,19 +206,19 @@ _PLAIN = "CASE WHEN uncompressed_length > 0 THEN uncompressed_length ELSE length
     **_SIDES,
 )
 def d7_diff_blobs(v: Virtual) -> DataFrame:
-    return diff.diff_blobs("root", "root", v.nodes(**_A), v.nodes(**_B), v.index_blobs()).where("blob_type = 'data'")
+    return diff.diff_blobs("root", "root", v.stored_nodes(**_A), v.stored_nodes(**_B), v.index_blobs()).where("blob_type = 'data'")
 
 
 @query("""SELECT snapshot_id, CAST(sum(n) AS BIGINT) AS total_file_count, CAST(sum(size) AS BIGINT) AS total_size FROM (
         SELECT snapshot_id, count(*) AS n, sum(size) AS size FROM walk WHERE links = 1 OR type = 'dir' OR inode = 0 GROUP BY snapshot_id
         UNION ALL SELECT snapshot_id, count(*), arg_min(size, string_split(path, '/')) FROM walk WHERE NOT (links = 1 OR type = 'dir' OR inode = 0) GROUP BY snapshot_id, inode, device_id) GROUP BY snapshot_id""")
 def a1_restore_size(v: Virtual) -> DataFrame:
-    return stats.restore_size(tree.walk(v.root_snapshots(), v.nodes()))
+    return stats.restore_size(tree.walk(v.root_snapshots(), v.stored_nodes()))
 
 
 @query("SELECT count(*) AS total_file_count, CAST(sum(size) AS BIGINT) AS total_size FROM (SELECT arg_min(size, (snapshot_id, string_split(path, '/'))) AS size FROM walk GROUP BY coalesce(array_to_string(content, ''), ''))")
 def a2_files_by_contents(v: Virtual) -> DataFrame:
-    return stats.files_by_contents(tree.walk(v.root_snapshots(), v.nodes()))
+    return stats.files_by_contents(tree.walk(v.root_snapshots(), v.stored_nodes()))
 
 
 @query(
@@ -228,7 +228,7 @@ def a2_files_by_contents(v: Virtual) -> DataFrame:
     **_USED,
 )
 def a3_blobs_per_file(v: Virtual) -> DataFrame:
-    return stats.blobs_per_file(tree.walk(v.root_snapshots(), v.nodes()), v.index_blobs())
+    return stats.blobs_per_file(tree.walk(v.root_snapshots(), v.stored_nodes()), v.index_blobs())
 
 
 @query(
@@ -238,7 +238,7 @@ def a3_blobs_per_file(v: Virtual) -> DataFrame:
     **_USED,
 )
 def a4_a5_raw_data(v: Virtual) -> DataFrame:
-    return stats.raw_data(tree.used_blobs(_roots(v), v.nodes()), v.index_blobs())
+    return stats.raw_data(tree.used_blobs(_roots(v), v.stored_nodes()), v.index_blobs())
 
 
 @query("""SELECT CASE WHEN size = 0 THEN 0 WHEN size < 10 THEN 1 WHEN size < 100 THEN 10 WHEN size <= 150 THEN 100 END::BIGINT AS low, CASE WHEN size = 0 THEN 0 WHEN size < 10 THEN 9 WHEN size < 100 THEN 99 WHEN size <= 150 THEN 150 END::BIGINT AS high,
@@ -264,7 +264,7 @@ def a10_pack_types(v: Virtual) -> DataFrame:
 
 @query("SELECT blob_type, blob_id, length FROM first_copies JOIN used USING (blob_type, blob_id) WHERE (blob_type, blob_id) NOT IN (SELECT (blob_type, blob_id) FROM index_blobs WHERE index_id IN ('i1', 'i2'))", **_USED)
 def m8_a12_blobs_to_copy(v: Virtual) -> DataFrame:
-    return rewrite.blobs_to_copy(_roots(v), v.nodes(), v.index_blobs(), v.index_blobs().where("index_id IN ('i1', 'i2')"))
+    return rewrite.blobs_to_copy(_roots(v), v.stored_nodes(), v.index_blobs(), v.index_blobs().where("index_id IN ('i1', 'i2')"))
 
 
 @query("SELECT pack_id, count(*) AS blobs, CAST(sum(length) AS BIGINT) AS bytes FROM index_blobs GROUP BY pack_id")
@@ -338,7 +338,7 @@ def c5_tree_findings(v: Virtual) -> DataFrame:
 
 @query("SELECT DISTINCT blob_type, blob_id FROM index_blobs WHERE (blob_type, blob_id) NOT IN (SELECT (blob_type, blob_id) FROM used)", **_USED)
 def c6_unused_blobs(v: Virtual) -> DataFrame:
-    return check.unused_blobs(v.index_blobs(), tree.used_blobs(_roots(v), v.nodes()))
+    return check.unused_blobs(v.index_blobs(), tree.used_blobs(_roots(v), v.stored_nodes()))
 
 
 @query("SELECT blob_type, blob_id FROM (SELECT 'data' AS blob_type, sha256(coalesce(text, '')) AS blob_id FROM documents WHERE doc_id % 10 = 3)")
@@ -366,7 +366,7 @@ _CLASSIFIED = _USED | {
 
 
 def _classified(v: Virtual) -> DataFrame:
-    return prune.classify(v.index_blobs(), tree.used_blobs(_roots(v), v.nodes()))
+    return prune.classify(v.index_blobs(), tree.used_blobs(_roots(v), v.stored_nodes()))
 
 
 @query("SELECT pack_id, blob_type, blob_id, state FROM classified", **_CLASSIFIED)
@@ -390,20 +390,20 @@ def gc5_gc7_decide(v: Virtual) -> DataFrame:
 
 @query("SELECT action, count(*) AS packs, CAST(sum(size) AS BIGINT) AS bytes FROM (SELECT size, CASE WHEN used_blobs = 0 THEN 'remove' WHEN unused_blobs = 0 AND duplicate_blobs = 0 THEN 'keep' ELSE 'repack' END AS action FROM infos JOIN pack_sizes USING (pack_id)) GROUP BY action", **_CLASSIFIED)
 def gc9_gc11_plan_totals(v: Virtual) -> DataFrame:
-    planned = prune.plan(v.index_blobs(), tree.used_blobs(_roots(v), v.nodes()), stats.pack_sizes(v.index_blobs()), prune.Options(max_unused=0))
+    planned = prune.plan(v.index_blobs(), tree.used_blobs(_roots(v), v.stored_nodes()), stats.pack_sizes(v.index_blobs()), prune.Options(max_unused=0))
     return prune.totals(planned).select("action", "packs", "bytes")
 
 
 @query("SELECT blob_type, blob_id FROM used WHERE (blob_type, blob_id) NOT IN (SELECT (blob_type, blob_id) FROM classified JOIN infos USING (pack_id) WHERE used_blobs > 0 AND unused_blobs = 0 AND duplicate_blobs = 0)", **_CLASSIFIED)
 def gc12_blobs_to_repack(v: Virtual) -> DataFrame:
-    used = tree.used_blobs(_roots(v), v.nodes()).checkpoint()
+    used = tree.used_blobs(_roots(v), v.stored_nodes()).checkpoint()
     planned = prune.plan(v.index_blobs(), used, stats.pack_sizes(v.index_blobs()), prune.Options(max_unused=0))
     return prune.blobs_to_copy(prune.classify(v.index_blobs(), used), planned)
 
 
 def gc9_gc13_budgeted_plan(v: Virtual) -> DataFrame:
     """Ordered steps under a repack budget; the greedy choice isn't expressible in SQL."""
-    planned = prune.plan(v.index_blobs(), tree.used_blobs(_roots(v), v.nodes()), stats.pack_sizes(v.index_blobs()), prune.Options(max_unused="10%", max_repack=2_000_000))
+    planned = prune.plan(v.index_blobs(), tree.used_blobs(_roots(v), v.stored_nodes()), stats.pack_sizes(v.index_blobs()), prune.Options(max_unused="10%", max_repack=2_000_000))
     return prune.steps(planned)
 
 
@@ -439,13 +439,13 @@ def m6_recover(v: Virtual) -> DataFrame:
 
 @query(f"SELECT snapshot_id, path FROM walk WHERE NOT regexp_matches(path, '(^|/)[^/]*3(/.*)?$') AND NOT ({_NAME} LIKE '%.o')")
 def m1_rewrite_exclude(v: Virtual) -> DataFrame:
-    w = tree.walk(v.root_snapshots(), v.nodes())
+    w = tree.walk(v.root_snapshots(), v.stored_nodes())
     return rewrite.rewrite_entries(w, exclude=glob.matches_list(F.col("path"), ["*3", "*.o"])).select("snapshot_id", "path")
 
 
 @query("""WITH k AS (SELECT snapshot_id, path FROM walk WHERE name LIKE '%7.p'), p AS (SELECT DISTINCT snapshot_id, array_to_string(string_split(path, '/')[1:i], '/') AS path FROM k, unnest(range(2, len(string_split(path, '/')) + 1)) AS u(i)) SELECT * FROM p""")
 def m2_rewrite_include(v: Virtual) -> DataFrame:
-    w = tree.walk(v.root_snapshots(), v.nodes())
+    w = tree.walk(v.root_snapshots(), v.stored_nodes())
     return rewrite.rewrite_entries(w, include=F.col("name").like("%7.p")).select("snapshot_id", "path")
 
 
@@ -453,14 +453,14 @@ def m2_rewrite_include(v: Virtual) -> DataFrame:
     SELECT id, CASE WHEN a.n = coalesce(b.n, 0) THEN 'unchanged' WHEN coalesce(b.n, 0) = 0 THEN 'remove' ELSE 'rewrite' END AS action, coalesce(files, 0) AS files, coalesce(bytes, 0) AS bytes FROM root_snapshots LEFT JOIN a ON id = a.snapshot_id LEFT JOIN b ON id = b.snapshot_id""")
 def m2_rewrite_snapshots(v: Virtual) -> DataFrame:
     name = v.table("nation").where("n_regionkey = 1").agg(F.min("n_name")).first()[0]
-    w = tree.walk(v.root_snapshots(), v.nodes())
+    w = tree.walk(v.root_snapshots(), v.stored_nodes())
     kept = rewrite.rewrite_entries(w, exclude=F.col("name") == name)
     return rewrite.rewrite_snapshots(v.root_snapshots(), w, kept).select("id", "action", "files", "bytes")
 
 
 @query("SELECT snapshot_id, CASE WHEN depth = 1 THEN '/' ELSE regexp_replace(path, '/[^/]*$', '') END AS path, count(*) AS entries FROM walk GROUP BY 1, 2")
 def x7_assemble_trees(v: Virtual) -> DataFrame:
-    return rewrite.assemble_trees(tree.walk(v.root_snapshots(), v.nodes())).select("snapshot_id", "path", "entries")
+    return rewrite.assemble_trees(tree.walk(v.root_snapshots(), v.stored_nodes())).select("snapshot_id", "path", "entries")
 
 
 @query(
@@ -520,7 +520,7 @@ def k2_assemble_packs(v: Virtual) -> DataFrame:
     **_USED,
 )
 def x9_restore_plan(v: Virtual) -> DataFrame:
-    return ingest.restore_plan(tree.walk(v.root_snapshots(), v.nodes()), v.index_blobs())
+    return ingest.restore_plan(tree.walk(v.root_snapshots(), v.stored_nodes()), v.index_blobs())
 
 
 @query("SELECT path FROM walk WHERE snapshot_id = 'all' AND (type = 'dir' OR size <= 150)")

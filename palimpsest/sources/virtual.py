@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.functions.scalar import entry_length
-from palimpsest.model import CRYPTO, HEADER
+from palimpsest.model import CRYPTO, HEADER, with_checkpoints
 
 
 class Virtual:
@@ -94,6 +94,11 @@ class Virtual:
         out = out.union(dirs("nation", key("r", "n_regionkey"), "n_name", key("n", "n_nationkey")))
         return out.union(dirs("customer", key("n", "c_nationkey"), "c_name", key("c", "c_custkey"))).union(files)
 
+    def stored_nodes(self, **until: str) -> DataFrame:
+        """The same, written once, for operators that read nodes level by level."""
+        with_checkpoints(self.spark)
+        return self.nodes(**until).checkpoint()
+
     def index_blobs(self) -> DataFrame:
         """Data blobs with copies in several packs, and one tree blob for each tree."""
         p = F.col("p_partkey")
