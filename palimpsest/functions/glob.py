@@ -89,7 +89,7 @@ def regex(pattern: str, fold: bool = False) -> str:
     rooted, parts = _parts(pattern.lower() if fold else pattern)
     while not rooted and parts and parts[0] == "**":
         parts = parts[1:]
-    body = "".join("(?:/[^/]+)*" if p == "**" else "/" + part_regex(p) for p in parts)
+    body = "".join("(?:/[^/]+)*" if p == "**" else "/(?=[^/])" + part_regex(p) for p in parts)
     if not rooted:
         body = "(?:.*/)?" + body[1:]
     return f"(?s)^{body}(?:/.*)?$"
@@ -111,7 +111,7 @@ def child_regex(pattern: str, fold: bool = False) -> str:
     body = ""
     for p in reversed(parts):
         # the path may end here, or go on as the pattern does, or below the whole pattern
-        body = f"(?:/{part_regex(p)}(?:{body or '/.*'})?)"
+        body = f"(?:/(?=[^/]){part_regex(p)}(?:{body or '/.*'})?)"
     return f"(?s)^(?:/|{body})$"
 
 
