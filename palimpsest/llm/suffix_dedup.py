@@ -25,6 +25,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -171,11 +172,12 @@ def send_segments(docs: pa.Table, notes: pa.Table, length: int, buckets: int) ->
         return _notes([])
     g = docs.column("g")[0].as_py()
     _, segments, by = _segments(docs, notes, length, buckets)
-    rows = []
+    rows, pack = [], zstandard.ZstdCompressor(level=3)
     for m, own in by.items():
         sizes = np.array([len(s) for s in own], "<u4")
         ids = np.array([segments[s][1] for s in own], "<i8")
-        rows.append((g, m, 0, np.array([len(own)], "<u4").tobytes() + sizes.tobytes() + ids.tobytes() + b"".join(own)))
+        # in byte order neighbours share their beginnings, so this packs well
+        rows.append((g, m, 0, pack.compress(np.array([len(own)], "<u4").tobytes() + sizes.tobytes() + ids.tobytes() + b"".join(own))))
     return _notes(rows)
 
 
@@ -241,7 +243,8 @@ def smallest_ids(notes: pa.Table, length: int) -> pa.Table:
     """For each group the stretches of its segments' windows that occur under a smaller id than the segment's."""
     m = notes.column("m")[0].as_py()
     groups, sizes, ids, data = [], [], [], []
-    for g, x in zip(notes.column("g").to_pylist(), notes.column("data").to_pylist(), strict=True):
+    unpack = zstandard.ZstdDecompressor()
+    for g, x in zip(notes.column("g").to_pylist(), map(unpack.decompress, notes.column("data").to_pylist()), strict=True):
         n = int(np.frombuffer(x, "<u4", 1)[0])
         sizes.append(np.frombuffer(x, "<u4", n, 4).astype(np.int64))
         ids.append(np.frombuffer(x, "<i8", n, 4 + 4 * n))
