@@ -192,19 +192,22 @@ def suffix_order(text: np.ndarray, wanted: np.ndarray, depth: int) -> np.ndarray
     n = len(text) - depth
     less, more = text[:-1] < text[1:], text[:-1] > text[1:]
     # equal neighbours take the kind of the next place that differs
-    differs = np.where(less | more, np.arange(len(text) - 1), len(text) - 1)
+    differs = np.where(less | more, np.arange(len(text) - 1, dtype=np.int32), np.int32(len(text) - 1))
     nearest = np.minimum.accumulate(differs[::-1])[::-1]
     up = np.concatenate((less, [False]))[nearest][:n]
+    del differs, nearest, more
     # up to the next ascending place every place is needed
-    next_up = np.minimum.accumulate(np.where(up, np.arange(n), n)[::-1])[::-1]
+    next_up = np.minimum.accumulate(np.where(up, np.arange(n, dtype=np.int32), np.int32(n))[::-1])[::-1]
     start = np.flatnonzero(wanted)
     edge = np.zeros(n + 2, np.int32)
     np.add.at(edge, start, 1)
     np.add.at(edge, np.minimum(next_up[start], n - 1) + 1, -1)
-    needed = np.cumsum(edge[:n]) > 0
+    needed = np.cumsum(edge[:n], dtype=np.int32) > 0
+    del next_up, edge
     direct = np.flatnonzero(needed & up)
     rows = np.lib.stride_tricks.sliding_window_view(text, depth)[direct]
     direct = direct[np.argsort(np.ascontiguousarray(rows).view(f"V{depth}").view(f"S{depth}").ravel(), kind="stable")]
+    del rows
     head = text[direct]
     bounds = np.searchsorted(head, np.arange(257))
     follows = np.zeros(n + 1, bool)  # is the place before needed and descending?
@@ -257,7 +260,8 @@ def smallest_ids(notes: pa.Table, length: int) -> pa.Table:
     edge = np.zeros(len(text) + 1, np.int32)
     np.add.at(edge, begin, 1)
     np.add.at(edge, begin + count, -1)
-    wanted = np.cumsum(edge)[: len(text) - length] > 0
+    wanted = np.cumsum(edge, dtype=np.int32)[: len(text) - length] > 0
+    del edge, data
     order = suffix_order(text, wanted, length)
     w = words_at(text.tobytes())
     a, b = order[:-1], order[1:]
@@ -324,7 +328,7 @@ def remove(docs: pa.Table, notes: pa.Table, length: int, buckets: int) -> pa.Tab
     return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _OUT.types, strict=True)], schema=_OUT)
 
 
-def repeated_bytes(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text", group_bytes: int = 8 << 20, least_groups: int = 64) -> DataFrame:
+def repeated_bytes(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text", group_bytes: int = 4 << 20, least_groups: int = 64) -> DataFrame:
     """One row per document: id, n_bytes, n_removed, n_spans, kept_sha256, spans array<struct<s,e>> (bytes).
 
     Null texts are empty. A null id is neither earlier nor later than another: its text
