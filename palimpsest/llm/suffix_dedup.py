@@ -6,9 +6,11 @@ id goes. The work is dealt out by content, so no task sees more than a bounded s
 1. Documents are dealt to groups by id. Of each window of ``length`` bytes the smallest
    hash of its k-byte grams (its minimizer) is computed; equal windows have equal minimizers.
    Groups send their minimizers, each once, to buckets by hash.
-2. A bucket tells the groups which minimizers occur in more than one document.
+2. A bucket tells the groups which minimizers occur in more than one document, and which are
+   frequent. Windows under a frequent one are dealt by it and their largest hash, so that a common phrase
+   with ever different neighbours doesn't come to one bucket.
 3. Groups cut the runs of windows under such minimizers out as segments and send each different
-   one once, with its smallest id, to the minimizer's bucket. So a passage that is in a third
+   one once, with its smallest id, to the bucket of its windows. So a passage that is in a third
    of all documents costs a row a group, not a row a document.
 4. A bucket sorts the suffixes at all window starts by two-stage sorting: only those smaller than
    their successors are sorted directly (by their first ``length`` bytes), the others are
@@ -33,6 +35,8 @@ from palimpsest.llm._common import prepare
 
 #: Bytes of a gram; two words of 8 bytes are hashed.
 GRAM = 16
+#: The low bits of a minimizer are free for notes on it.
+LOW = np.uint64(15)
 NOTE = "g int, m int, kind int, data binary"
 _NOTE = pa.schema([("g", pa.int32()), ("m", pa.int32()), ("kind", pa.int32()), ("data", pa.binary())])
 
@@ -47,8 +51,8 @@ def words_at(data: bytes) -> np.ndarray:
     return out
 
 
-def minimizers(data: bytes, length: int) -> np.ndarray:
-    """For each window of ``length`` bytes the smallest hash of its grams; the lowest bit is 0."""
+def gram_hashes(data: bytes) -> np.ndarray:
+    """Hash of the gram from each place on; the LOW bits are 0."""
     w = words_at(data)
     h = w[:-8] * np.uint64(0x9E3779B97F4A7C15)
     h ^= h >> np.uint64(31)
@@ -56,22 +60,53 @@ def minimizers(data: bytes, length: int) -> np.ndarray:
     h *= np.uint64(0xBF58476D1CE4E5B9)
     h ^= h >> np.uint64(29)
     h *= np.uint64(0x94D049BB133111EB)
-    h &= ~np.uint64(1)
+    h &= ~LOW
+    return h
+
+
+def over_windows(best: np.ufunc, h: np.ndarray, length: int) -> np.ndarray:
+    """The least or greatest (``best``) gram hash of each window of ``length`` bytes."""
     span, have = length - GRAM + 1, 1
     while 2 * have <= span:
-        h = np.minimum(h[:-have], h[have:])
+        h = best(h[:-have], h[have:])
         have *= 2
-    return np.minimum(h[: len(h) - (span - have)], h[span - have :]) if span > have else h
+    return best(h[: len(h) - (span - have)], h[span - have :]) if span > have else h
 
 
-def runs(data: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Maximal runs of windows with one minimizer: first window, last window, minimizer."""
-    m = minimizers(data, length)
+def runs(h: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Maximal runs of windows with one minimizer: first window, last window, minimizer; from the gram hashes."""
+    m = over_windows(np.minimum, h, length)
     cut = np.flatnonzero(m[1:] != m[:-1]) + 1
     first = np.concatenate(([0], cut))
     return first, np.concatenate((cut - 1, [len(m) - 1])), m[first]
 
 
+def shared_runs(data: bytes, shared: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of windows under shared minimizers: first window, last window, what they are dealt by.
+
+    ``shared`` is in order; its lowest bit marks frequent minimizers, whose runs are cut where the largest hash changes.
+    """
+    h = gram_hashes(data)
+    first, last, key = runs(h, length)
+    at = np.searchsorted(shared, key)
+    at[at == len(shared)] = 0
+    hit = (shared[at] & ~LOW) == key
+    often = hit & (shared[at] & LOW > 0)
+    first, last, key, often = first[hit], last[hit], key[hit], often[hit]
+    if not often.any():
+        return first, last, key
+    most = over_windows(np.maximum, h, length)
+    size = last - first + 1
+    run = np.repeat(np.arange(len(first)), size)
+    place = np.arange(len(run)) + (first - (np.cumsum(size) - size))[run]
+    by = key[run]
+    mark = often[run]
+    by[mark] = (by[mark] ^ (most[place[mark]] >> np.uint64(4))) * np.uint64(0x9E3779B97F4A7C15)
+    begin = np.flatnonzero(np.concatenate(([True], (run[1:] != run[:-1]) | (by[1:] != by[:-1]))))
+    end = np.concatenate((begin[1:], [len(run)])) - 1
+    return place[begin], place[end], by[begin]
+
+
 def _texts(docs: pa.Table, length: int) -> list[tuple[int, bytes]]:
     """(id, text) of the documents that can share a window; a null id is neither earlier nor later."""
     pairs = zip(docs.column("id").to_pylist(), docs.column("text").to_pylist(), strict=True)
@@ -97,11 +132,11 @@ def _split(values: np.ndarray, owner: np.ndarray):
 
 
 def send_minimizers(docs: pa.Table, length: int, buckets: int) -> pa.Table:
-    """A group's different minimizers by bucket; the lowest bit tells whether two documents of the group have it."""
+    """A group's different minimizers by bucket; the low bits hold the logarithm of how many of its documents have it."""
     g = docs.column("g")[0].as_py()
     parts, ids = [], []
     for i, t in _texts(docs, length):
-        own = np.unique(runs(t, length)[2])
+        own = np.unique(runs(gram_hashes(t), length)[2])
         parts.append(own)
         ids.append(np.full(len(own), i, np.int64))
     if not parts:
@@ -111,23 +146,25 @@ def send_minimizers(docs: pa.Table, length: int, buckets: int) -> pa.Table:
     h, d = h[order], d[order]
     first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
     several = np.minimum.reduceat(d, first) != np.maximum.reduceat(d, first)
-    h = h[first] | several.astype(np.uint64)
+    level = np.log2(np.diff(np.concatenate((first, [len(h)])))).clip(1, 15).astype(np.uint64)
+    h = h[first] | np.where(several, level, np.uint64(0))
     return _notes([(g, m, 0, part.tobytes()) for m, part in _split(h, _bucket(h, buckets))])
 
 
-def shared_minimizers(notes: pa.Table) -> pa.Table:
-    """For each group those of its minimizers that are in two documents at least."""
+def shared_minimizers(notes: pa.Table, frequent: int) -> pa.Table:
+    """For each group those of its minimizers that are in two documents at least; the lowest bit marks those in about ``frequent`` or more."""
     m = notes.column("m")[0].as_py()
     parts = [np.frombuffer(x, np.uint64) for x in notes.column("data").to_pylist()]
     h = np.concatenate(parts)
     owner = np.repeat(np.array(notes.column("g").to_pylist(), np.int32), [len(p) for p in parts])
     order = np.argsort(h, kind="stable")
     h, owner = h[order], owner[order]
-    bare = h >> np.uint64(1)
+    bare, times = h & ~LOW, np.int64(1) << (h & LOW).astype(np.int64)
     first = np.flatnonzero(np.concatenate(([True], bare[1:] != bare[:-1])))
     size = np.diff(np.concatenate((first, [len(h)])))
-    keep = np.repeat((size > 1) | (np.bitwise_or.reduceat(h & np.uint64(1), first) > 0), size)
-    h = h & ~np.uint64(1)
+    total = np.add.reduceat(times, first)
+    keep = np.repeat(total > 1, size)
+    h = bare | np.repeat(total >= frequent, size).astype(np.uint64)
     return _notes([(g, m, 0, part.tobytes()) for g, part in _split(h[keep], owner[keep])])
 
 
@@ -141,12 +178,9 @@ def _segments(docs: pa.Table, notes: pa.Table, length: int, buckets: int):
     shared = np.sort(np.frombuffer(b"".join(data), np.uint64))
     texts, found, segments = _texts(docs, length), [], {}
     for i, t in texts if len(shared) else ():
-        first, last, h = runs(t, length)
-        at = np.searchsorted(shared, h)
-        at[at == len(shared)] = 0
-        hit = np.flatnonzero(shared[at] == h)
+        first, last, key = shared_runs(t, shared, length)
         own = []
-        for a, b, m in zip(first[hit].tolist(), last[hit].tolist(), _bucket(h[hit], buckets).tolist(), strict=True):
+        for a, b, m in zip(first.tolist(), last.tolist(), _bucket(key, buckets).tolist(), strict=True):
             s = t[a : b + length]
             own.append((a, b, s))
             got = segments.get(s)
@@ -328,23 +362,25 @@ def remove(docs: pa.Table, notes: pa.Table, length: int, buckets: int) -> pa.Tab
     return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _OUT.types, strict=True)], schema=_OUT)
 
 
-def repeated_bytes(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text", group_bytes: int = 4 << 20, least_groups: int = 64) -> DataFrame:
+def repeated_bytes(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text", group_bytes: int = 4 << 20, least_groups: int = 64, frequent: int = 4096) -> DataFrame:
     """One row per document: id, n_bytes, n_removed, n_spans, kept_sha256, spans array<struct<s,e>> (bytes).
 
     Null texts are empty. A null id is neither earlier nor later than another: its text
     stays whole and removes nothing. Rows that repeat an id don't remove from each other. Strings that
     overlap count; matches never cross documents. Other columns are ignored. ``group_bytes``
-    is about what one task handles at a time.
+    is about what one task handles at a time; ``frequent`` documents make a minimizer a frequent one.
     """
     prepare(docs.sparkSession)
     if length < GRAM + 8:
         raise ValueError(f"length must be at least {GRAM + 8}")
     total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     n = max(least_groups, -(-total // group_bytes))
-    key = F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(n)).cast("int")
+    # null ids are dealt by their texts, as they may be many
+    dealt = F.when(F.col(id_col).isNull(), F.xxhash64(text_col)).otherwise(F.xxhash64(F.col(id_col).cast("long")))
+    key = F.pmod(dealt, F.lit(n)).cast("int")
     own = docs.select(key.alias("g"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).groupBy("g")
     sent = own.applyInArrow(lambda d: send_minimizers(d, length, n), NOTE)
-    shared = sent.groupBy("m").applyInArrow(shared_minimizers, NOTE)
+    shared = sent.groupBy("m").applyInArrow(lambda x: shared_minimizers(x, frequent), NOTE)
     segments = own.cogroup(shared.groupBy("g")).applyInArrow(lambda d, x: send_segments(d, x, length, n), NOTE)
     smaller = segments.groupBy("m").applyInArrow(lambda x: smallest_ids(x, length), NOTE)
     out = own.cogroup(shared.union(smaller).groupBy("g")).applyInArrow(lambda d, x: remove(d, x, length, n), OUT)

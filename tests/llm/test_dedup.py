@@ -178,11 +178,12 @@ def brute_repeats(rows, length):
     return sorted(out, key=str)
 
 
-def test_repeated_bytes_match_brute_force(spark, docs_of, awkward):
+@pytest.mark.parametrize("frequent", [2, 4096])
+def test_repeated_bytes_match_brute_force(spark, docs_of, awkward, frequent):
     rng = random.Random(5)
     pool = ["".join(rng.choice("abé \n") for _ in range(rng.randint(10, 150))) for _ in range(8)] + ["-" * 120, "ab" * 70]
     rows = [(i, t if t is None or len(t) < 10_000 else t[88_000:92_000]) for i, t in awkward]
     rows += [(20 + k, "".join(rng.choice(pool) for _ in range(rng.randint(1, 5)))) for k in range(60)]
-    out = suffix_dedup.repeated_bytes(docs_of(rows), least_groups=5)
+    out = suffix_dedup.repeated_bytes(docs_of(rows), least_groups=5, frequent=frequent)
     assert sorted(map(tuple, out.drop("spans").collect()), key=str) == brute_repeats(rows, 50)
     assert suffix_dedup.repeated_bytes(docs_of(rows).where("false"), least_groups=5).count() == 0
