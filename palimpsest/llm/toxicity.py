@@ -7,6 +7,10 @@ A text's score comes from its highest window, so a few words count in a long tex
 labels are of whole texts, so training first takes every window of a toxic text as
 toxic and then only those that stand out. Misspelt or unseen words share n-grams.
 
+A word of more than ``LONGEST`` characters (text without white space, joined words) counts
+as a row of pieces, each with its own hash and the n-grams that start in its ``PIECE``
+characters, so every n-gram of the whole word counts once, in training and scoring.
+
 After training a word is two numbers (sum of its n-grams' logits, and their count), which
 workers cache, so scoring is a dictionary lookup a word and running sums.
 """
@@ -28,19 +32,54 @@ from palimpsest.llm._common import bounded_sample, prepare
 EDGES = ".,;:!?\"'()[]{}<>*#$%&/\\|-_=+~`^@«»“”„‘’…¡¿"
 #: Most words that a worker keeps.
 KEPT = 1 << 20
+#: Characters of the n-grams, of a word that is taken whole, and of the pieces of longer ones.
+LEAST, MOST = 3, 5
+LONGEST, PIECE = 64, 8
 
 
-def grams(word: str, buckets: int, least: int = 3, most: int = 5) -> list[int]:
-    """Buckets of the word and of its character n-grams, the word's ends marked."""
-    marked = f"<{word}>"
+def _marked(word: str) -> tuple[str, int]:
+    """The word with its ends marked, or a piece as it is; and the places where its n-grams may start."""
+    return (word[1:], PIECE) if word[0] == " " else (f"<{word}>", len(word) + 2)
+
+
+def grams(word: str, buckets: int) -> list[int]:
+    """Buckets of the word or piece and of its character n-grams."""
+    marked, starts = _marked(word)
     out = [zlib.crc32(marked.encode("utf-8", "replace")) % buckets]
-    for n in range(least, most + 1):
-        out += [zlib.crc32(marked[i : i + n].encode("utf-8", "replace")) % buckets for i in range(len(marked) - n + 1)]
+    for n in range(LEAST, MOST + 1):
+        out += [zlib.crc32(marked[i : i + n].encode("utf-8", "replace")) % buckets for i in range(min(starts, len(marked) - n + 1))]
     return out
 
 
+def n_grams(word: str) -> int:
+    """How many buckets ``grams`` gives; none for no word."""
+    if not word:
+        return 0
+    marked, starts = _marked(word)
+    return 1 + sum(max(0, min(starts, len(marked) - n + 1)) for n in range(LEAST, MOST + 1))
+
+
+def pieces(unit: str) -> list[str]:
+    """The unit, or the pieces of one whose word is longer than ``LONGEST``. They begin with a space, which no unit does,
+    and reach over the next piece's beginning by what their last n-grams need."""
+    word = unit.strip(EDGES)
+    if len(word) <= LONGEST:
+        return [unit]
+    marked = f"<{word}>"
+    return [" " + marked[i : i + PIECE + MOST - 1] for i in range(0, len(marked) - LEAST + 1, PIECE)]
+
+
 def units(text: str | None) -> list[str]:
-    return (text or "").lower().split()
+    """White-space separated units of a whole text in lower case; long ones in pieces."""
+    own = (text or "").lower().split()
+    if not own or max(map(len, own)) <= LONGEST:
+        return own
+    return [p for u in own for p in pieces(u)]
+
+
+def bare(unit: str) -> str:
+    """The word of a unit; a piece as it is."""
+    return unit if unit[0] == " " else unit.strip(EDGES)
 
 
 @dataclass
@@ -67,12 +106,12 @@ class Scorer(dict):
         self.n = 0
 
     def __missing__(self, unit: str) -> int:
-        word = unit.strip(EDGES)
-        g = grams(word[:64], len(self.model.logits)) if word else []
+        word = bare(unit)
+        g = grams(word, len(self.model.logits)) if word else []
         if self.n == len(self.parts):
             self.parts = np.concatenate((self.parts, np.zeros_like(self.parts)))
         self.parts[self.n] = self.model.logits[g].sum() if g else 0.0, len(g)
-        if len(unit) <= 64:
+        if len(unit) <= LONGEST:
             self[unit] = self.n
         self.n += 1
         return self.n - 1
@@ -109,9 +148,8 @@ class _Net:
 
     def __init__(self, words: list[str], buckets: int, dim: int, seed: int) -> None:
         rng = np.random.default_rng(seed)
-        size = np.array([min(len(w), 64) for w in words], np.int64)
-        self.count = np.where(size > 0, 1 + sum(np.maximum(size + 3 - n, 0) for n in range(3, 6)), 0)
-        self.flat = np.fromiter((g for w in words if w for g in grams(w[:64], buckets)), np.int32, int(self.count.sum()))
+        self.count = np.array([n_grams(w) for w in words], np.int64)
+        self.flat = np.fromiter((g for w in words if w for g in grams(w, buckets)), np.int32, int(self.count.sum()))
         self.begin = np.concatenate(([0], np.cumsum(self.count)))[:-1]
         self.v = rng.normal(0, 0.1, (buckets, dim))
         self.w, self.b = rng.normal(0, 0.1, (dim, 2)), np.zeros(2)
@@ -173,7 +211,7 @@ def fit(rows: list[tuple[str | None, int]], window: int = 8, buckets: int = 1 <<
     number: dict[str, int] = {}
     parts, owner, label = [], [], []
     for d, (text, y) in enumerate(rows):
-        own = [number.setdefault(u.strip(EDGES), len(number)) for u in units(text)]
+        own = [number.setdefault(bare(u), len(number)) for u in units(text)]
         n = max(1, -(-len(own) // window))
         grid = np.full(n * window, -1, np.int32)
         grid[: len(own)] = own

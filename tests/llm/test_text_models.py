@@ -155,3 +155,26 @@ def test_quality_of_awkward_rows(spark, docs_of, awkward):
     assert len(rows) == len(awkward) and all(0 <= r.tail_prob <= r.expected_grade <= 2 for r in rows)
     empty = docs_of(awkward).where("false")
     assert quality.quality(empty, quality.train(empty, grades, 3), tail=1).count() == 0
+
+
+def test_toxic_word_in_a_long_unit():
+    rng = random.Random(1)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    rows = [(" ".join([word() for _ in range(30)] + ["worthless"] * (k % 2) + [word() for _ in range(9)]), k % 2) for k in range(400)]
+    plain = "".join(word() for _ in range(60))
+    toxic = plain[:150] + "worthless" + plain[150:]
+    s = toxicity.fit(rows, negatives=4000).scorer().scores([toxic, plain])
+    assert s[0] > 0.3 > s[1]
+    s = toxicity.fit([(t.replace(" ", ""), y) for t, y in rows], negatives=4000).scorer().scores([toxic, plain])
+    assert s[0] > 0.5 > s[1]
+
+
+@pytest.mark.parametrize("size", [63, 64, 65, 70, 71, 72, 73, 500])
+def test_pieces_hold_every_n_gram_once(size):
+    rng = random.Random(size)
+    word = "q" + "".join(rng.choice("ab-_中") for _ in range(size - 2)) + "z"
+    pieces, marked = toxicity.units(f"..{word}!"), f"<{word}>"
+    assert (len(pieces) == 1) == (size <= 64)
+    got = sorted(g for p in map(toxicity.bare, pieces) for g in toxicity.grams(p, 1 << 30)[1:])
+    assert got == sorted(zlib.crc32(marked[i : i + n].encode()) % (1 << 30) for n in (3, 4, 5) for i in range(len(marked) - n + 1))
+    assert all(len(toxicity.grams(p, 99)) == toxicity.n_grams(p) for p in map(toxicity.bare, pieces))
