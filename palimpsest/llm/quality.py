@@ -3,7 +3,8 @@
 Grades 0..K-1 share one weight for each hashed text feature and have K-1 ordered
 thresholds: P(grade > k) = sigmoid(w.x - t_k). Thresholds are kept in order by learning
 the first and the logarithms of the gaps. The features of a text are the mean over its units
-(white-space separated) of the unit's own hash, its shape (case, digits and marks with runs
+(white-space separated, those over ``langid.LONGEST`` characters cut to consecutive pieces that count as
+units, so the whole text counts) of the unit's own hash, its shape (case, digits and marks with runs
 collapsed) and its word, so a unit is one number once the weights are known, which workers cache.
 """
 
@@ -20,9 +21,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm._common import bounded_sample, prepare
+from palimpsest.llm.langid import split
 
-#: Most units a worker keeps, and the longest that it keeps.
-KEPT, LONGEST = 1 << 20, 64
+#: Most units a worker keeps.
+KEPT = 1 << 20
 RUN = re.compile(r"(.)\1+", re.S)
 SHAPE = str.maketrans({**{c: "a" for c in "abcdefghijklmnopqrstuvwxyz"}, **{c: "A" for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}, **{c: "0" for c in "0123456789"}})
 
@@ -35,8 +37,7 @@ def shape(unit: str) -> str:
 
 
 def features(unit: str, buckets: int) -> tuple[int, int, int]:
-    own = unit[:LONGEST]
-    names = ("u" + own, "s" + shape(own), "w" + own.lower().strip(".,;:!?"))
+    names = ("u" + unit, "s" + shape(unit), "w" + unit.lower().strip(".,;:!?"))
     return tuple(zlib.crc32(x.encode("utf-8", "replace")) % buckets for x in names)
 
 
@@ -59,16 +60,15 @@ class Scorer(dict):
 
     def __missing__(self, unit: str) -> float:
         got = float(self.model.weights[list(features(unit, len(self.model.weights)))].sum())
-        if len(unit) <= LONGEST:
-            if len(self) >= KEPT:
-                self.clear()
-            self[unit] = got
+        if len(self) >= KEPT:
+            self.clear()
+        self[unit] = got
         return got
 
     def latent(self, texts: list[str | None]) -> np.ndarray:
         out = np.zeros(len(texts))
         for i, t in enumerate(texts):
-            if units := (t or "").split():
+            if units := split(t):
                 out[i] = sum(map(self.__getitem__, units)) / len(units)
         return out
 
@@ -97,7 +97,7 @@ def fit(rows: list[tuple[str | None, int]], grades: int, buckets: int = 1 << 17,
     table = _Features(buckets)
     index, value = [], []
     for text, _ in rows:
-        units = (text or "").split()
+        units = split(text)
         f = np.array([table[u] for u in units], np.int64).ravel()
         at, n = np.unique(f, return_counts=True)
         index.append(at)

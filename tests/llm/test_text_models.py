@@ -178,3 +178,16 @@ def test_pieces_hold_every_n_gram_once(size):
     got = sorted(g for p in map(toxicity.bare, pieces) for g in toxicity.grams(p, 1 << 30)[1:])
     assert got == sorted(zlib.crc32(marked[i : i + n].encode()) % (1 << 30) for n in (3, 4, 5) for i in range(len(marked) - n + 1))
     assert all(len(toxicity.grams(p, 99)) == toxicity.n_grams(p) for p in map(toxicity.bare, pieces))
+
+
+def test_quality_reads_long_units_whole():
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(8))
+    rows = [("".join(word() for _ in range(8)) + ("XX##11!!" if k % 2 else "") + "".join(word() for _ in range(8)), 1 - k % 2) for k in range(300)]
+    model = quality.fit(rows, 2)
+    head = "".join(word() for _ in range(8))
+    good, bad = (model.tails(quality.Scorer(model).latent([head + x + word()]))[0, 0] for x in ("", "XX##11!!"))
+    assert good > 0.5 > bad
+    cut = lambda t: " ".join(t[i : i + 64] for i in range(0, len(t), 64))
+    scorer = quality.Scorer(model)
+    assert scorer.latent([head + "XX##11!!" * 30]) == scorer.latent([cut(head + "XX##11!!" * 30)])
