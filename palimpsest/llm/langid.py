@@ -109,8 +109,12 @@ def fit(rows: list[tuple[str, str]], penalty: float = 4.0, least: int = 2, most_
             for t in trigrams(w[:LONGEST]):
                 grams[i][t] += n
             seen.setdefault(script(w), np.zeros(len(langs), np.int64))[i] += n
-    # a language belongs to a script if it gives at least a hundredth of the script's words
-    model.scripts = {s: n * 100 >= n.sum() for s, n in seen.items()}
+    # a language belongs to a script that at least a hundredth of its own words are in, however few they are among
+    # the script's words; a script that is so rare in all its languages belongs to all of them
+    total = np.array([sum(c.values()) for c in words])
+    for s, n in seen.items():
+        own = (n > 0) & (n * 100 >= total)
+        model.scripts[s] = own if own.any() else n > 0
 
     def tables(counts: list[Counter]) -> tuple[dict[str, int], np.ndarray]:
         """Numbers from 1 of what is kept, and smoothed log shares; row 0 is what isn't kept."""

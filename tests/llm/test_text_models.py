@@ -191,3 +191,14 @@ def test_quality_reads_long_units_whole():
     cut = lambda t: " ".join(t[i : i + 64] for i in range(0, len(t), 64))
     scorer = quality.Scorer(model)
     assert scorer.latent([head + "XX##11!!" * 30]) == scorer.latent([cut(head + "XX##11!!" * 30)])
+
+
+def test_a_rare_language_is_found():
+    rng = random.Random(4)
+    word = lambda letters: "".join(rng.choice(letters) for _ in range(rng.randint(3, 7)))
+    text = lambda letters: " ".join(word(letters) for _ in range(40))
+    rows = [(text("aeioubcdfgh"), "big") for _ in range(600)] + [(text("aeiouklmnpr"), "rare") for _ in range(4)] + [("кот " * 2 + text("aeioubcdfgh"), "big")]
+    model = langid.fit(rows)
+    held = [text("aeiouklmnpr") for _ in range(20)] + [text("aeioubcdfgh") for _ in range(20)] + ["кот кот"]
+    got = [model.langs[np.bincount(y).argmax()] for _, y in langid.Labeller(model).label(held)]
+    assert got == ["rare"] * 20 + ["big"] * 21
