@@ -6,9 +6,11 @@ language, all words by their character trigrams. Viterbi over the words of a tex
 penalty for each change of language, labels spans; the text's language is the one that
 most of its words are labelled with.
 
-Texts of a batch are decoded in step. Longer texts are decoded in blocks of ``BLOCK`` words
-with ``DEPTH`` words of overlap on either side (the usual decision depth of a truncated
-Viterbi), so a very long text costs no more a word than a short one.
+Texts of a batch are decoded in step, those of more than ``BLOCK`` words in blocks: each
+block gives the best score from every language before it to every one at its end, these
+make the scores that each block starts from, and labels are followed back from every language at
+a block's end, to be joined from the last block on. The path is that of the whole text, and
+a very long text costs no more steps than one block.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 from palimpsest.llm._common import bounded_sample, prepare
 
 UNDETERMINED = "und"
-BLOCK, DEPTH = 2048, 64
+BLOCK = 2048
 #: Most words a worker keeps scores of, and characters of a word that are scored.
 KEPT, LONGEST = 1 << 20, 64
 #: First code points of script ranges (fixed values) and their names; others are "other".
@@ -134,15 +136,20 @@ def fit(rows: list[tuple[str, str]], penalty: float = 4.0, least: int = 2, most_
     return model
 
 
-def viterbi(scores: np.ndarray, first: np.ndarray, size: np.ndarray, penalty: float) -> np.ndarray:
-    """Best labels of sequences of rows of ``scores`` (each first..first+size), decoded in step."""
-    out = np.zeros(len(scores), np.int8)
+def viterbi(scores: np.ndarray, first: np.ndarray, size: np.ndarray, penalty: float, start: np.ndarray | None = None, every_end: bool = False) -> np.ndarray:
+    """Best labels of sequences of rows of ``scores`` (each first..first+size), decoded in step.
+
+    ``start`` has the scores before each sequence. With ``every_end`` there is a column of labels for each label that
+    the last row may have.
+    """
+    k = scores.shape[1]
+    out = np.zeros((len(scores), k if every_end else 1), np.int8)
     order = np.argsort(-size, kind="stable")
     first, size = first[order], size[order]
     longest = int(size[0]) if len(size) else 0
     active = [int(n) for n in np.searchsorted(-size, -np.arange(longest), "left")]  # sequences longer than t
-    v = np.zeros((len(size), scores.shape[1]))
-    own = np.arange(scores.shape[1], dtype=np.int8)
+    v = np.zeros((len(size), k)) if start is None else start[order]
+    own = np.arange(k, dtype=np.int8)
     back = []
     for t in range(longest):
         n = active[t]
@@ -153,11 +160,46 @@ def viterbi(scores: np.ndarray, first: np.ndarray, size: np.ndarray, penalty: fl
         back.append(np.where(stay, own, best.astype(np.int8)[:, None]))
         u = np.where(stay, u, jump[:, None]) + scores[first[:n] + t]
         v[:n] = u - u.max(axis=1, keepdims=True)
-    state = v.argmax(axis=1).astype(np.int8)
+    state = np.tile(own, (len(size), 1)) if every_end else v.argmax(axis=1).astype(np.int8)[:, None]
     for t in range(longest - 1, -1, -1):
         n = active[t]
         out[first[:n] + t] = state[:n]
-        state[:n] = back[t][np.arange(n), state[:n]]
+        state[:n] = back[t][np.arange(n)[:, None], state[:n]]
+    return out if every_end else out[:, 0]
+
+
+def passages(scores: np.ndarray, first: np.ndarray, size: int, penalty: float) -> np.ndarray:
+    """[sequence, a, b]: best scores of ``size`` rows from first on, from label a before them to label b at their end."""
+    k = scores.shape[1]
+    u = np.where(np.eye(k, dtype=bool), 0.0, -np.inf) + np.zeros((len(first), 1, 1))
+    for t in range(size):
+        u = np.maximum(u, u.max(axis=2, keepdims=True) - penalty) + scores[first + t][:, None]
+        u -= u.max(axis=(1, 2), keepdims=True)
+    return u
+
+
+def decode(scores: np.ndarray, size: np.ndarray, penalty: float) -> np.ndarray:
+    """Best labels of sequences that follow one another in ``scores``, the long ones in blocks, as if decoded whole."""
+    n = np.maximum(-(-size // BLOCK), 1)  # blocks of each sequence
+    last = np.cumsum(n) - 1
+    seq = np.repeat(np.arange(len(size)), n)
+    nr = np.arange(len(seq)) - (last - n + 1)[seq]
+    first = (np.cumsum(size) - size)[seq] + nr * BLOCK
+    length = np.minimum(size[seq] - nr * BLOCK, BLOCK)
+    start = np.zeros((len(seq), scores.shape[1]))
+    inner = np.ones(len(seq), bool)
+    inner[last] = False
+    inner = np.flatnonzero(inner)
+    for b, way in zip(inner.tolist(), passages(scores, first[inner], BLOCK, penalty) if len(inner) else (), strict=True):
+        v = (start[b][:, None] + way).max(axis=0)
+        start[b + 1] = v - v.max()
+    out = viterbi(scores, first[last], length[last], penalty, start[last])
+    if len(inner):
+        ends = viterbi(scores, first[inner], length[inner], penalty, start[inner], every_end=True)
+        for b in inner[::-1].tolist():
+            v, label = start[b + 1], out[first[b + 1]]
+            end = label if v[label] >= v.max() - penalty else v.argmax()
+            out[first[b] : first[b + 1]] = ends[first[b] : first[b + 1], end]
     return out
 
 
@@ -192,18 +234,9 @@ class Labeller(dict):
         self.learn(set().union(*units))
         rows = [np.fromiter(map(self.__getitem__, u), np.int64, len(u)) for u in units]
         at = [np.flatnonzero(r) for r in rows]
-        pieces, places = [], []  # (text, from, to, skipped) and their rows
-        for d, a in enumerate(at):
-            for s in range(0, len(a), BLOCK):
-                lo, hi = max(0, s - DEPTH), min(len(a), s + BLOCK + DEPTH)
-                pieces.append((d, s, min(len(a), s + BLOCK), s - lo))
-                places.append(rows[d][a[lo:hi]])
-        size = np.array([len(p) for p in places], np.int64)
-        first = np.cumsum(size) - size
-        labels = viterbi(self.table[np.concatenate(places)], first, size, self.model.penalty) if places else np.empty(0, np.int8)
-        out = [np.empty(len(a), np.int8) for a in at]
-        for (d, s, e, skip), f in zip(pieces, first.tolist(), strict=True):
-            out[d][s:e] = labels[f + skip : f + skip + e - s]
+        size = np.array([len(a) for a in at], np.int64)
+        labels = decode(self.table[np.concatenate([r[a] for r, a in zip(rows, at, strict=True)])], size, self.model.penalty) if size.sum() else np.empty(0, np.int8)
+        out = np.split(labels, np.cumsum(size)[:-1])
         return list(zip(at, out, strict=True))
 
 

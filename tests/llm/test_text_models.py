@@ -202,3 +202,17 @@ def test_a_rare_language_is_found():
     held = [text("aeiouklmnpr") for _ in range(20)] + [text("aeioubcdfgh") for _ in range(20)] + ["кот кот"]
     got = [model.langs[np.bincount(y).argmax()] for _, y in langid.Labeller(model).label(held)]
     assert got == ["rare"] * 20 + ["big"] * 21
+
+
+def test_blocks_decode_as_the_whole_text():
+    model = langid.fit([("the cat and", "en"), ("der hund und", "de")] * 3)
+    labeller = langid.Labeller(model)
+    rng = random.Random(5)
+    units = [f"q{chr(97 + k)}" for k in range(20)]
+    labeller.learn(set(units))
+    table = np.random.default_rng(5).choice([-1.0, -0.5, 0.0], (labeller.n, 2)).astype(np.float32)
+    labeller.table[1 : labeller.n] = (table - table.max(axis=1, keepdims=True))[1:]
+    texts = [" ".join(rng.choices(units, k=n)) for n in (langid.BLOCK * 9, 0, 5, langid.BLOCK, langid.BLOCK * 30 + 1, 3)]
+    for t, (at, labels) in zip(texts, labeller.label(texts), strict=True):
+        own = labeller.table[[labeller[u] for u in t.split()]]
+        assert len(at) == len(own) and (not len(at) or (labels == langid.viterbi(own, np.zeros(1, int), np.array([len(own)]), model.penalty)).all())
