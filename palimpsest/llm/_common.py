@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+from collections import Counter
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 #: Rows and bytes of one Arrow batch handed to a Python worker; bounds worker memory.
 ARROW_ROWS, ARROW_BYTES = 1024, 16 << 20
@@ -44,14 +46,28 @@ def shared_path(spark: SparkSession, name: str) -> str:
 
 
 def bounded_sample(rows: DataFrame, id_col: str, text_col: str, most_rows: int, most_bytes: int) -> list:
-    """Rows for fitting a model: at most ``most_rows`` in hash order of their id, and so
-    few of those that their texts stay near ``most_bytes``. Ids are picked before any text moves.
+    """Rows for fitting a model: the first in hash order of their id, at most ``most_rows`` and ``most_bytes`` of text.
+
+    Texts of more than a 64th of ``most_bytes`` come after all others, so that a few of them don't take the place of many
+    rows; texts of more than ``most_bytes`` are not used. Rows are picked by id and digest before any text moves.
     """
-    prepare(rows.sparkSession)
-    while True:
-        ids = rows.select(F.col(id_col).alias("pick")).where("pick IS NOT NULL").orderBy(F.xxhash64("pick"), "pick").limit(most_rows)
-        got = rows.join(F.broadcast(ids), F.col(id_col) == F.col("pick"), "left_semi").checkpoint()
-        n, size = got.agg(F.count("*"), F.sum(F.octet_length(text_col))).first()
-        if n <= 1 or (size or 0) <= 1.5 * most_bytes:
-            return got.orderBy(F.xxhash64(id_col), id_col).collect() if n else []
-        most_rows = max(1, int(min(n, most_rows) * most_bytes / size))
+    spark = prepare(rows.sparkSession)
+    size = F.coalesce(F.octet_length(text_col), F.lit(0))
+    keyed = rows.where(F.col(id_col).isNotNull() & (size <= most_bytes))
+    keyed = keyed.withColumns({"pick_id": F.col(id_col), "pick_digest": F.xxhash64(text_col), "pick_size": size})
+    order = [F.col("pick_size") > most_bytes // 64, F.xxhash64("pick_id"), "pick_id", "pick_digest", "pick_size"]
+    picks: Counter = Counter()
+    total = 0
+    for r in keyed.select("pick_id", "pick_digest", "pick_size").orderBy(*order).limit(most_rows).collect():
+        total += r.pick_size
+        if total > most_bytes:
+            break
+        picks[tuple(r)] += 1
+    if not picks:
+        return []
+    fields = keyed.select("pick_id", "pick_digest", "pick_size").schema
+    copies = spark.createDataFrame([(*key, n) for key, n in picks.items()], fields.add("pick_n", IntegerType()))
+    copy = Window.partitionBy("pick_id", "pick_digest", "pick_size").orderBy(*rows.columns)
+    got = keyed.join(F.broadcast(copies), ["pick_id", "pick_digest", "pick_size"])
+    got = got.withColumn("pick_nr", F.row_number().over(copy)).where("pick_nr <= pick_n").orderBy(*order, "pick_nr")
+    return got.select(*rows.columns).collect()

@@ -12,6 +12,7 @@ import numpy as np
 import pytest
 
 from palimpsest.llm import decontaminate, langid, quality, toxicity
+from palimpsest.llm._common import bounded_sample
 from palimpsest.llm.queries import QUERIES
 
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
@@ -216,3 +217,17 @@ def test_blocks_decode_as_the_whole_text():
     for t, (at, labels) in zip(texts, labeller.label(texts), strict=True):
         own = labeller.table[[labeller[u] for u in t.split()]]
         assert len(at) == len(own) and (not len(at) or (labels == langid.viterbi(own, np.zeros(1, int), np.array([len(own)]), model.penalty)).all())
+
+
+def test_a_very_long_text_does_not_shrink_the_sample(spark):
+    rows = [(k, "x" * 100) for k in range(300)] + [(1000 + k, "y" * 20_000) for k in range(30)]
+    got = bounded_sample(spark.createDataFrame(rows, "i long, t string"), "i", "t", 400, 100_000)
+    assert sum(r.t[0] == "x" for r in got) == 300 and sum(len(r.t) for r in got) <= 100_000
+    assert bounded_sample(spark.createDataFrame([(1, "z" * 100_001)], "i long, t string"), "i", "t", 400, 100_000) == []
+
+
+def test_a_sample_of_one_repeated_id_ends(spark):
+    rows = spark.createDataFrame([(1, f"{k}" + "x" * 900) for k in range(50)] + [(1, "y")] * 3, "i long, t string")
+    assert 1 <= len(bounded_sample(rows, "i", "t", 400, 10_000)) <= 14
+    same = spark.createDataFrame([(1, "x" * 900)] * 50, "i long, t string")
+    assert len(bounded_sample(same, "i", "t", 400, 10_000)) == 11
