@@ -141,8 +141,8 @@ def pack_documents(docs: DataFrame, path: str, limits: Limits = Limits(), end_id
 
     id, start, length, ids_crc32, doc_tokens, sequence_id, offset. A text's ids are
     followed by ``end_id`` (null and empty texts: that alone), and all bear loss. Texts are
-    cut into full sequences, their rests packed and cut to fill gaps. A task's last bins,
-    where nothing is left to fill them, are cut to powers of two, which need no padding.
+    cut into full sequences, their rests packed and cut to fill gaps. Bins that stay below the limit (those full
+    of segments, and a task's last ones) are cut to powers of two, which need no padding.
     Repeated rows and null ids are packed like any other; other columns are ignored.
     """
     prepare(docs.sparkSession)
@@ -172,6 +172,11 @@ def pack_documents(docs: DataFrame, path: str, limits: Limits = Limits(), end_id
         kind = None
         cols: list[list] = [[] for _ in range(7)]
 
+        def put_all(bin_: list) -> None:
+            held = sum(len(p[2]) for p in bin_) // 4
+            for part in [bin_] if held == limits.tokens else powers(bin_):
+                put(part)
+
         def put(bin_: list) -> None:
             nonlocal made
             at = 0
@@ -198,12 +203,10 @@ def pack_documents(docs: DataFrame, path: str, limits: Limits = Limits(), end_id
                     put([(key, at, ids[4 * at : 4 * (at + most)], total)])
                 if whole < total:
                     for bin_ in packer.add(total - whole, total - whole, (key, whole, ids[4 * whole :], total)):
-                        put(bin_)
+                        put_all(bin_)
             yield rows()
         for bin_ in packer.finish():
-            held = sum(len(p[2]) for p in bin_) // 4
-            for part in [bin_] if held == limits.tokens else powers(bin_):
-                put(part)
+            put_all(bin_)
         if kind is not None:
             yield rows()
 

@@ -48,6 +48,27 @@ def test_a_full_cache_starts_anew(monkeypatch, library):
     assert len(units) <= 4
 
 
+def test_units_of_plain_characters_are_the_librarys(library):
+    units = bpe.Units(tokenizer_path())
+    rng = random.Random(4)
+    plain = [c for c in map(chr, range(0x20C0)) if bpe.ODD.search(c) is None]
+    for _ in range(3000):
+        text = "".join(rng.choice(plain) if rng.random() < 0.4 else rng.choice("abC'sStTdDlLrReEvVmM 01 \n-.,!") for _ in range(rng.randint(1, 30)))
+        assert np.frombuffer(units.ids(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_a_tokenizer_with_other_rules_encodes_whole_texts(library, tmp_path):
+    from tokenizers import Tokenizer, pre_tokenizers
+
+    other = Tokenizer.from_str(library.to_str())
+    other.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(" ", "removed"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+    path = str(tmp_path / "other.json")
+    other.save(path)
+    units = bpe.Units(path)
+    for text in ("one,two three's", "x\ty z9z"):
+        assert not units.plain(text) and np.frombuffer(units.ids(text), "<u4").tolist() == other.encode(text, add_special_tokens=False).ids
+
+
 @pytest.mark.parametrize("limits", [Limits(), Limits(64, 3, 64)])
 def test_packed_documents_give_the_texts_again(spark, sf_dir, docs_of, awkward, library, limits):
     rows = [(k, t) for k, (_, t) in enumerate(texts(spark, sf_dir, awkward))]
@@ -69,6 +90,16 @@ def test_packed_documents_give_the_texts_again(spark, sf_dir, docs_of, awkward,
     assert padding <= 0.1 * sum(sizes)
 
 
+@pytest.mark.parametrize("words", [20, 4])
+def test_short_texts_need_little_padding(spark, docs_of, words):
+    rng = random.Random(words)
+    rows = [(k, " ".join(rng.choices(["a", "of", "the", "word"], k=rng.randint(0, words)))) for k in range(20_000)]
+    got = pack_documents(docs_of(rows).repartition(2), tokenizer_path()).groupBy("sequence_id").agg({"length": "sum", "*": "count"}).collect()
+    sizes = [r["sum(length)"] for r in got]
+    assert max(sizes) <= 2048 and max(r["count(1)"] for r in got) <= 64
+    assert sum(2048 - n for n in sizes if n & (n - 1)) <= 0.05 * sum(sizes)
+
+
 def gapless(parts):
     at = 0
     for start, length in sorted(parts):
