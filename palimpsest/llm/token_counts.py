@@ -21,13 +21,14 @@ from palimpsest.llm import bpe
 from palimpsest.llm._common import prepare
 
 
-def frequent_lengths(docs: DataFrame, path: str, text_col: str = "text", sample_rows: int = 2000, table_size: int = 1 << 15) -> tuple[bytes, bytes]:
+def frequent_lengths(docs: DataFrame, path: str, text_col: str = "text", sample_rows: int = 2000, sample_chars: int = 16_384, table_size: int = 1 << 15) -> tuple[bytes, bytes]:
     """Packed table: units joined by newlines, and one length byte each.
 
-    ``sample_rows`` bounds the texts looked at and ``table_size`` the units kept.
+    The first ``sample_rows`` texts of at most ``sample_chars`` characters are looked at; only as many partitions are read as
+    have them, and nothing is shuffled. ``table_size`` bounds the units kept.
     """
     own, seen = bpe.Units(path), Counter()
-    for (text,) in docs.select(text_col).where(F.length(text_col) < 100_000).limit(sample_rows).toLocalIterator():
+    for (text,) in docs.select(text_col).where(F.length(text_col) <= sample_chars).take(sample_rows):
         if own.plain(text):
             seen.update(u for u in text.split() if len(u) <= bpe.LONGEST)
     top = [u for u, _ in seen.most_common(table_size)]
