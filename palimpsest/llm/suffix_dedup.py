@@ -16,7 +16,7 @@ id goes. The work is dealt out by content, so no task sees more than a bounded s
    their successors are sorted directly (by their first ``length`` bytes), the others are
    induced by scanning the buckets of first bytes in order. Adjacent common prefixes of ``length`` or more
    bytes give the equal windows and their smallest id, which is told to the groups.
-5. Groups mark the windows and remove the bytes they cover.
+5. Groups mark the windows and remove the bytes they cover. Where their runs are they have told themselves in step 3.
 
 The three passes over the texts are cogroups on one exchange, which Spark reuses.
 """
@@ -107,10 +107,27 @@ def shared_runs(data: bytes, shared: np.ndarray, length: int) -> tuple[np.ndarra
     return place[begin], place[end], by[begin]
 
 
+def _rows(docs: pa.Table) -> list[tuple[int | None, bytes]]:
+    """(id, text) of all rows; a null text is empty."""
+    texts = docs.column("text").cast(pa.binary()).to_pylist()
+    return [(i, t or b"") for i, t in zip(docs.column("id").to_pylist(), texts, strict=True)]
+
+
 def _texts(docs: pa.Table, length: int) -> list[tuple[int, bytes]]:
-    """(id, text) of the documents that can share a window; a null id is neither earlier nor later."""
-    pairs = zip(docs.column("id").to_pylist(), docs.column("text").to_pylist(), strict=True)
-    return [(i, t.encode("utf-8")) for i, t in pairs if i is not None and t is not None and len(t) * 4 >= length and len(t.encode("utf-8")) >= length]
+    """(id, text) of the documents that can share a window, each once and in order; a null id is neither earlier nor later."""
+    return sorted({(i, t) for i, t in _rows(docs) if i is not None and len(t) >= length})
+
+
+def _squeeze(*columns: np.ndarray) -> bytes:
+    """Columns of 32-bit numbers, byte by byte of a column, packed."""
+    planes = [np.ascontiguousarray(c.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes() for c in columns]
+    return zstandard.ZstdCompressor(level=3).compress(b"".join(planes))
+
+
+def _columns(data: bytes, n: int) -> list[np.ndarray]:
+    """The n columns that were squeezed, as 64-bit numbers."""
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(n, 4, -1)
+    return [np.ascontiguousarray(p.T).view("<u4").ravel().astype(np.int64) for p in planes]
 
 
 def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
@@ -168,53 +185,60 @@ def shared_minimizers(notes: pa.Table, frequent: int) -> pa.Table:
     return _notes([(g, m, 0, part.tobytes()) for g, part in _split(h[keep], owner[keep])])
 
 
-def _segments(docs: pa.Table, notes: pa.Table, length: int, buckets: int):
-    """The group's texts, their runs under shared minimizers, and the different segments by bucket.
+def send_segments(docs: pa.Table, notes: pa.Table, length: int, buckets: int) -> pa.Table:
+    """A group's different segments by bucket: their number, lengths, smallest ids and bytes.
 
-    segments: bytes -> [bucket, smallest id, number]; numbers count within a bucket in byte
-    order, so they don't depend on the order of rows.
+    A note to the group itself (kind 2, by way of the bucket of its own number) says where its runs are, so that they
+    aren't looked for again: see ``_runs_note``.
     """
-    data = [x for x, k in zip(notes.column("data").to_pylist(), notes.column("kind").to_pylist(), strict=True) if k == 0]
-    shared = np.sort(np.frombuffer(b"".join(data), np.uint64))
-    texts, found, segments = _texts(docs, length), [], {}
-    for i, t in texts if len(shared) else ():
-        first, last, key = shared_runs(t, shared, length)
-        own = []
-        for a, b, m in zip(first.tolist(), last.tolist(), _bucket(key, buckets).tolist(), strict=True):
-            s = t[a : b + length]
-            own.append((a, b, s))
-            got = segments.get(s)
-            if got is None:
-                segments[s] = [m, i, 0]
-            elif i < got[1]:
-                got[1] = i
-        if own:
-            found.append((i, t, own))
-    by: dict[int, list[bytes]] = {}
-    for s, (m, _, _) in segments.items():
-        by.setdefault(m, []).append(s)
-    for own in by.values():
-        own.sort()
-        for n, s in enumerate(own):
-            segments[s][2] = n
-    return found, segments, by
-
-
-def send_segments(docs: pa.Table, notes: pa.Table, length: int, buckets: int) -> pa.Table:
-    """A group's different segments by bucket: their number, lengths, smallest ids and bytes."""
     if not docs.num_rows or not notes.num_rows:
         return _notes([])
     g = docs.column("g")[0].as_py()
-    _, segments, by = _segments(docs, notes, length, buckets)
+    shared = np.sort(np.frombuffer(b"".join(notes.column("data").to_pylist()), np.uint64))
+    numbers: dict[bytes, int] = {}  # a segment's number is that of its first use, in order of ids
+    owner, first, last, key, number, ids = [], [], [], [], [], []
+    for d, (i, t) in enumerate(_texts(docs, length)):
+        a, b, k = shared_runs(t, shared, length)
+        if len(a):
+            owner.append(np.full(len(a), d, np.int64))
+            ids.append(np.full(len(a), i, np.int64))
+            first.append(a)
+            last.append(b)
+            key.append(k)
+            number += [numbers.setdefault(t[x:y], len(numbers)) for x, y in zip(a.tolist(), (b + length).tolist(), strict=True)]
+    if not owner:
+        return _notes([])
+    owner, first, last, ids, number = np.concatenate(owner), np.concatenate(first), np.concatenate(last), np.concatenate(ids), np.array(number, np.int64)
+    bucket = _bucket(np.concatenate(key), buckets)
+    use = np.flatnonzero(np.concatenate(([True], np.maximum.accumulate(number)[1:] > np.maximum.accumulate(number)[:-1])))
+    bucket, least = bucket[use], ids[use]
+    listed = list(numbers)
+    order = np.array(sorted(range(len(listed)), key=listed.__getitem__))
+    order = order[np.argsort(bucket[order], kind="stable")]
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
     rows, pack = [], zstandard.ZstdCompressor(level=3)
-    for m, own in by.items():
-        sizes = np.array([len(s) for s in own], "<u4")
-        ids = np.array([segments[s][1] for s in own], "<i8")
+    count = []
+    for m, part in _split(order, bucket[order]):
+        own = [listed[j] for j in part.tolist()]
+        sizes = np.fromiter(map(len, own), "<u4", len(own))
         # in byte order neighbours share their beginnings, so this packs well
-        rows.append((g, m, 0, pack.compress(np.array([len(own)], "<u4").tobytes() + sizes.tobytes() + ids.tobytes() + b"".join(own))))
+        rows.append((g, m, 0, pack.compress(np.array([len(own)], "<u4").tobytes() + sizes.tobytes() + least[part].astype("<i8").tobytes() + b"".join(own))))
+        count.append((m, len(own)))
+    rows.append((g, g, 2, _runs_note(owner, first, last, np.where(ids > least[number], 0, place[number] + 1), count)))
     return _notes(rows)
 
 
+def _runs_note(owner: np.ndarray, first: np.ndarray, last: np.ndarray, place: np.ndarray, count: list[tuple[int, int]]) -> bytes:
+    """Runs of a group's documents (numbered in order of id and text): document, first window, windows less 1, place of the segment.
+
+    Places count from 1 over buckets and within them; 0 stands for a segment that a smaller id of the group has as well, so
+    that all of the run goes. The buckets and their numbers of segments follow.
+    """
+    runs = _squeeze(owner, np.diff(first, prepend=0) & 0xFFFFFFFF, last - first, place)
+    return np.array([len(runs)], "<u4").tobytes() + runs + np.array(count, "<u4").tobytes()
+
+
 def suffix_order(text: np.ndarray, wanted: np.ndarray, depth: int) -> np.ndarray:
     """The wanted places in the order of their suffixes, right for the first ``depth`` bytes.
 
@@ -233,10 +257,9 @@ def suffix_order(text: np.ndarray, wanted: np.ndarray, depth: int) -> np.ndarray
     # up to the next ascending place every place is needed
     next_up = np.minimum.accumulate(np.where(up, np.arange(n, dtype=np.int32), np.int32(n))[::-1])[::-1]
     start = np.flatnonzero(wanted)
-    edge = np.zeros(n + 2, np.int32)
-    np.add.at(edge, start, 1)
-    np.add.at(edge, np.minimum(next_up[start], n - 1) + 1, -1)
-    needed = np.cumsum(edge[:n], dtype=np.int32) > 0
+    edge = -np.bincount(np.minimum(next_up[start], n - 1) + 1, minlength=n + 1)
+    edge[start] += 1
+    needed = np.cumsum(edge[:n]) > 0
     del next_up, edge
     direct = np.flatnonzero(needed & up)
     rows = np.lib.stride_tricks.sliding_window_view(text, depth)[direct]
@@ -277,25 +300,58 @@ def suffix_order(text: np.ndarray, wanted: np.ndarray, depth: int) -> np.ndarray
 
 
 def smallest_ids(notes: pa.Table, length: int) -> pa.Table:
-    """For each group the stretches of its segments' windows that occur under a smaller id than the segment's."""
+    """For each group the stretches of its segments' windows that occur under a smaller id than the segment's.
+
+    Segments that several groups sent are sorted once, under their smallest id; in the other groups all of their windows
+    occur under a smaller one. A group's note to itself is passed on.
+    """
     m = notes.column("m")[0].as_py()
-    groups, sizes, ids, data = [], [], [], []
+    kind = np.array(notes.column("kind").to_pylist())
+    passed, notes = notes.filter(pa.array(kind == 2)).select(_NOTE.names), notes.filter(pa.array(kind == 0))
+    if not notes.num_rows:
+        return passed
+    owner, ids, which = [], [], []
+    distinct: dict[bytes, int] = {}
     unpack = zstandard.ZstdDecompressor()
     for g, x in zip(notes.column("g").to_pylist(), map(unpack.decompress, notes.column("data").to_pylist()), strict=True):
         n = int(np.frombuffer(x, "<u4", 1)[0])
-        sizes.append(np.frombuffer(x, "<u4", n, 4).astype(np.int64))
+        ends = np.cumsum(np.frombuffer(x, "<u4", n, 4), dtype=np.int64) + 4 + 12 * n
         ids.append(np.frombuffer(x, "<i8", n, 4 + 4 * n))
-        data.append(x[4 + 12 * n :])
-        groups.append((g, n))
-    size, own = np.concatenate(sizes), np.concatenate(ids)
-    text = np.frombuffer(b"".join(data) + b"\x00\xff" + bytes(length + 8), np.uint8)
+        owner.append(np.full(n, g, np.int32))
+        starts = [4 + 12 * n, *ends[:-1].tolist()]
+        which.append(np.array([distinct.setdefault(x[a:b], len(distinct)) for a, b in zip(starts, ends.tolist(), strict=True)], np.int64))
+    local = np.concatenate([np.arange(len(x)) for x in which])
+    which, ids, owner = np.concatenate(which), np.concatenate(ids), np.concatenate(owner)
+    own = np.full(len(distinct), np.iinfo(np.int64).max)
+    np.minimum.at(own, which, ids)
+    size = np.fromiter(map(len, distinct), np.int64, len(distinct))
+    text = np.frombuffer(b"".join(distinct) + b"\x00\xff" + bytes(length + 8), np.uint8)
+    del distinct
     begin = np.concatenate(([0], np.cumsum(size)[:-1]))
     count = size - length + 1  # windows of each segment
-    edge = np.zeros(len(text) + 1, np.int32)
-    np.add.at(edge, begin, 1)
-    np.add.at(edge, begin + count, -1)
-    wanted = np.cumsum(edge, dtype=np.int32)[: len(text) - length] > 0
-    del edge, data
+    at, first, last = _later_stretches(text, begin, count, own, length)
+    # of each segment that was sent: all windows, or the stretches found
+    whole = np.flatnonzero(ids > own[which])
+    told = [np.stack([local[whole], np.zeros(len(whole), np.int64), count[which[whole]] - 1], axis=1)]
+    rest = np.flatnonzero(ids == own[which])
+    low, high = np.searchsorted(at, which[rest], "left"), np.searchsorted(at, which[rest], "right")
+    n = high - low
+    pick = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    told.append(np.stack([np.repeat(local[rest], n), first[pick], last[pick]], axis=1))
+    to = np.concatenate((owner[whole], np.repeat(owner[rest], n)))
+    return pa.concat_tables([_notes([(g, m, 1, _squeeze(*part.T)) for g, part in _split(np.concatenate(told), to)]), passed])
+
+
+def _later_stretches(text: np.ndarray, begin: np.ndarray, count: np.ndarray, own: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Stretches of windows that also occur in a segment of a smaller id: segment, first and last window.
+
+    Segments start at ``begin`` in ``text`` and have ``count`` windows and the id ``own`` each.
+    """
+    edge = np.zeros(len(text) + 1, np.int8)
+    edge[begin] = 1
+    edge[begin + count] = -1
+    wanted = np.cumsum(edge[: len(text) - length], dtype=np.int8) > 0
+    del edge
     order = suffix_order(text, wanted, length)
     w = words_at(text.tobytes())
     a, b = order[:-1], order[1:]
@@ -303,63 +359,86 @@ def smallest_ids(notes: pa.Table, length: int) -> pa.Table:
     for k in [*range(0, length - 8, 8), length - 8]:
         equal &= w[a + k] == w[b + k]
     first = np.flatnonzero(np.concatenate(([True], ~equal)))
-    segment = np.searchsorted(begin, order, "right") - 1
-    least = np.repeat(np.minimum.reduceat(own[segment], first), np.diff(np.concatenate((first, [len(order)]))))
-    later = least < own[segment]
-    place = np.sort(order[later])
-    at = np.searchsorted(begin, place, "right") - 1
+    segment = np.repeat(np.arange(len(begin), dtype=np.int32), count + length - 1)
+    ids = own[segment[order]]
+    least = np.repeat(np.minimum.reduceat(ids, first), np.diff(np.concatenate((first, [len(order)]))))
+    later = np.zeros(len(segment), bool)
+    later[order[least < ids]] = True
+    place = np.flatnonzero(later)
+    at = segment[place]
     offset = place - begin[at]
     new = np.concatenate(([True], (place[1:] != place[:-1] + 1) | (at[1:] != at[:-1]))) if len(place) else np.empty(0, bool)
     lead = np.flatnonzero(new)
     end = np.concatenate((lead[1:], [len(place)])) - 1 if len(lead) else lead
-    local = np.concatenate([np.arange(n) for _, n in groups])
-    owner = np.repeat(np.array([g for g, _ in groups], np.int32), [n for _, n in groups])
-    told = np.stack([local[at[lead]], offset[lead], offset[end]], axis=1).astype("<u4")
-    return _notes([(g, m, 1, np.ascontiguousarray(part).tobytes()) for g, part in _split(told, owner[at[lead]])])
+    return at[lead], offset[lead], offset[end]
 
 
 _OUT = pa.schema([("id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("spans", pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())])))])
 OUT = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<s:bigint,e:bigint>>"
 
 
-def remove(docs: pa.Table, notes: pa.Table, length: int, buckets: int) -> pa.Table:
+def _marks(notes: pa.Table, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What the notes of a group say goes: document (numbered in order of id and text), from, to; overlaps are not joined."""
+    by_kind: dict[int, list[tuple[int, bytes]]] = {1: [], 2: []}
+    for m, k, x in zip(*(notes.column(c).to_pylist() for c in ("m", "kind", "data")), strict=True):
+        by_kind[k].append((m, x))
+    if not by_kind[2]:
+        return (np.empty(0, np.int64),) * 3
+    data = by_kind[2][0][1]
+    size = 4 + int(np.frombuffer(data, "<u4", 1)[0])
+    owner, first, more, place = _columns(data[4:size], 4)
+    first = np.cumsum(first) & 0xFFFFFFFF
+    count = np.frombuffer(data[size:], "<u4").reshape(-1, 2).astype(np.int64)
+    lead = dict(zip(count[:, 0].tolist(), (np.cumsum(count[:, 1]) - count[:, 1] + 1).tolist(), strict=True))
+    told = [(lead[m] + n, a, b) for m, x in by_kind[1] for n, a, b in [_columns(x, 3)]]
+    n, a, b = (np.concatenate(c) for c in zip(*told, strict=True)) if told else (np.empty(0, np.int64),) * 3
+    order = np.argsort(n, kind="stable")
+    n, a, b = n[order], a[order], b[order]
+    whole = place == 0
+    low, high = np.searchsorted(n, place, "left"), np.searchsorted(n, place, "right")
+    many = np.where(whole, 0, high - low)
+    run = np.repeat(np.arange(len(place)), many)
+    pick = np.repeat(low - (np.cumsum(many) - many), many) + np.arange(len(run))
+    start = np.concatenate((first[whole], first[run] + a[pick]))
+    end = np.concatenate((first[whole] + more[whole], first[run] + b[pick])) + length
+    return np.concatenate((owner[whole], owner[run])), start, end
+
+
+def remove(docs: pa.Table, notes: pa.Table, length: int) -> pa.Table:
     """The group's documents with their removed spans."""
-    if not docs.num_rows:
+    rows = _rows(docs)
+    if not rows:
         return _OUT.empty_table()
-    found, segments, _ = _segments(docs, notes, length, buckets) if notes.num_rows else ([], {}, {})
-    told: dict[tuple[int, int], list[tuple[int, int]]] = {}
-    for m, k, x in zip(*(notes.column(c).to_pylist() for c in ("m", "kind", "data")), strict=True):
-        if k == 1:
-            for n, a, b in np.frombuffer(x, "<u4").reshape(-1, 3).tolist():
-                told.setdefault((m, n), []).append((a, b))
-    spans: dict[tuple[int, bytes], list[dict]] = {}
-    for i, t, own in found:
-        marks = []
-        for a, b, s in own:
-            m, least, n = segments[s]
-            if i > least:
-                marks.append((a, b + length))
-            else:
-                marks += [(a + x, a + y + length) for x, y in told.get((m, n), ())]
-        joined: list[dict] = []
-        for s, e in sorted(marks):
-            if joined and s <= joined[-1]["e"]:
-                joined[-1]["e"] = max(e, joined[-1]["e"])
-            else:
-                joined.append({"s": s, "e": e})
-        if joined:
-            spans[i, t] = joined
-    rows = []
-    for i, t in zip(docs.column("id").to_pylist(), docs.column("text").to_pylist(), strict=True):
-        data = (t or "").encode("utf-8")
-        gone = spans.get((i, data), [])
+    spans: dict[tuple[int, bytes], tuple[list[int], list[int]]] = {}
+    if notes.num_rows:
+        texts = _texts(docs, length)
+        base = np.cumsum([0, *(len(t) + 1 for _, t in texts)])  # with a gap, so that no two documents touch
+        owner, start, end = _marks(notes, length)
+        order = np.argsort(base[owner] + start)
+        owner, start, reach = owner[order], (base[owner] + start)[order], np.maximum.accumulate((base[owner] + end)[order])
+        lead = np.flatnonzero(np.concatenate(([True], start[1:] > reach[:-1]))[: len(start)])
+        tail = np.concatenate((lead, [len(start)]))[1:] - 1
+        for d, s, e in zip(owner[lead].tolist(), (start[lead] - base[owner[lead]]).tolist(), (reach[tail] - base[owner[lead]]).tolist(), strict=True):
+            starts_, ends_ = spans.setdefault(texts[d], ([], []))
+            starts_.append(s)
+            ends_.append(e)
+    removed, number, digest, starts, ends = [], [], [], [], []
+    for row in rows:
+        s, e = spans.get(row, ((), ()))
         sha, at = hashlib.sha256(), 0
-        for x in gone:
-            sha.update(data[at : x["s"]])
-            at = x["e"]
-        sha.update(data[at:])
-        rows.append((i, len(data), sum(x["e"] - x["s"] for x in gone), len(gone), sha.hexdigest(), gone))
-    return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _OUT.types, strict=True)], schema=_OUT)
+        for a, b in zip(s, e, strict=True):
+            sha.update(row[1][at:a])
+            at = b
+        sha.update(row[1][at:])
+        removed.append(sum(e) - sum(s))
+        number.append(len(s))
+        digest.append(sha.hexdigest())
+        starts += s
+        ends += e
+    struct = pa.StructArray.from_arrays([pa.array(starts, pa.int64()), pa.array(ends, pa.int64())], ["s", "e"])
+    listed = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *number]), pa.int32()), struct)
+    cols = [docs.column("id").to_pylist(), [len(t) for _, t in rows], removed, number, digest]
+    return pa.Table.from_arrays([*(pa.array(c, t) for c, t in zip(cols, _OUT.types, strict=False)), listed], names=_OUT.names)
 
 
 def repeated_bytes(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text", group_bytes: int = 4 << 20, least_groups: int = 64, frequent: int = 4096) -> DataFrame:
@@ -383,5 +462,5 @@ def repeated_bytes(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
     shared = sent.groupBy("m").applyInArrow(lambda x: shared_minimizers(x, frequent), NOTE)
     segments = own.cogroup(shared.groupBy("g")).applyInArrow(lambda d, x: send_segments(d, x, length, n), NOTE)
     smaller = segments.groupBy("m").applyInArrow(lambda x: smallest_ids(x, length), NOTE)
-    out = own.cogroup(shared.union(smaller).groupBy("g")).applyInArrow(lambda d, x: remove(d, x, length, n), OUT)
+    out = own.cogroup(smaller.groupBy("g")).applyInArrow(lambda d, x: remove(d, x, length), OUT)
     return out.withColumnRenamed("id", id_col)
