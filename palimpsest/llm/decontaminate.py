@@ -3,7 +3,9 @@
 Of each window of w consecutive k-gram hashes the smallest (rightmost of equals) is
 kept as a fingerprint. Two texts that share w + k - 1 words share a fingerprint, at the
 same place of the shared span; the fingerprints of training texts are joined with those of
-the benchmark and each hit is extended word by word as far as both texts agree. Items
+the benchmark and each hit is extended word by word while both texts agree, as far as a
+window that holds the fingerprint can reach: longer spans have more fingerprints. Places that agree in
+all words within that reach are extended once, so repeated words stay cheap. Items
 shorter than the window are fingerprinted with w and k that guarantee their own length.
 
 Word identifiers are exact (a dictionary of the benchmark's words), so a hit that is
@@ -27,6 +29,8 @@ from palimpsest.llm._common import prepare
 #: Bytes of words to themselves in lower case, all others to a space.
 WORDS = bytes(c if c >= 0x80 or chr(c).isalnum() else 0x20 for c in bytes(range(256)).lower())
 NONE = np.iinfo(np.uint64).max
+#: Pairs of places that are extended at a time.
+PAIRS = 1 << 20
 
 
 def words(text: str | None) -> list[bytes]:
@@ -65,6 +69,23 @@ def winnow(h: np.ndarray, w: int) -> np.ndarray:
     return np.unique(at[least != NONE])
 
 
+def alike(ids: np.ndarray, places: np.ndarray, before: int, after: int, also: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Classes of places with equal words from ``before`` before to ``after`` after and equal ``also``: one of each, class of each.
+
+    Ids below 1 aren't words, and what lies beyond one makes no difference.
+    """
+    rows = np.empty((len(places), before + after + 1), np.int32)
+    rows[:, -1] = also
+    for j in range(before + after):
+        rows[:, j] = ids[np.clip(places + (j - before), 0, len(ids) - 1)]
+    for j in range(before - 1, -1, -1):
+        rows[rows[:, j + 1] < 1, j] = 0
+    for j in range(before + 1, before + after):
+        rows[rows[:, j - 1] < 1, j] = 0
+    _, one, group = np.unique(rows, axis=0, return_index=True, return_inverse=True)
+    return one, group.ravel()
+
+
 class Benchmark:
     """Fingerprints and words of one block of items, for lookup in a worker."""
 
@@ -90,12 +111,15 @@ class Benchmark:
             kk = min(k, length)
             places = [winnow(gram_hashes(self.ids[self.start[i] : self.start[i] + self.size[i]], kk), length - kk + 1) + self.start[i] for i in own]
             places = np.concatenate(places)
+            # of places with equal surroundings in one item one stands for all
+            item = np.searchsorted(self.start, places, "right") - 1
+            places = places[alike(self.ids, places, length - kk, length, item)[0]]
             h = gram_hashes(self.ids, kk)[places]
             order = np.argsort(h, kind="stable")
             self.classes.append((length, kk, h[order], places[order]))
 
     def spans(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Maximal matched spans (start, end, item) in ids, which holds a 0 at both ends and between texts."""
+        """Matched spans (start, end, item), which together cover all that matches, in ids, which holds a 0 at both ends and between texts."""
         found = []
         for length, k, hashes, places in self.classes:
             known = np.concatenate(([0], (ids > 0).view(np.int8), [0]))
@@ -107,22 +131,50 @@ class Benchmark:
             h = gram_hashes(ids[pick], k)
             p = winnow(h, length - k + 1)
             lo, hi = np.searchsorted(hashes, h[p], "left"), np.searchsorted(hashes, h[p], "right")
-            n = hi - lo
-            q = places[np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())]
-            p = pick[np.repeat(p, n)]
-            left, right = self._extent(ids, p - 1, q - 1, -1), self._extent(ids, p, q, 1)
-            item = np.searchsorted(self.start, q, "right") - 1
-            keep = left + right >= length
-            found.append(np.stack([p - left, p + right, item])[:, keep])
+            p, lo, hi = pick[p[hi > lo]], lo[hi > lo], hi[hi > lo]
+            if not len(p):
+                continue
+            one, group = alike(ids, p, length - k, length, np.zeros(len(p), np.int32))
+            found.append(self._hits(ids, p, one, group, lo[one], hi[one], places, length, k))
         if not found:
             return (np.empty(0, np.int64),) * 3
         return tuple(np.unique(np.concatenate(found, axis=1), axis=1))
 
-    def _extent(self, ids: np.ndarray, p: np.ndarray, q: np.ndarray, step: int) -> np.ndarray:
-        """How many words agree from (p, q) on, in steps of 1 or -1."""
+    def _hits(self, ids: np.ndarray, p: np.ndarray, one: np.ndarray, group: np.ndarray, lo: np.ndarray, hi: np.ndarray, places: np.ndarray, length: int, k: int) -> np.ndarray:
+        """Spans (start, end, item) of the places p, whose classes have the benchmark places from lo to hi.
+
+        All spans at a place hold it, so of an item the furthest start and end there say the same as all of them.
+        """
+        upto, begin, best = np.cumsum(hi - lo), 0, []
+        while begin < len(one):  # pairs by blocks
+            end = max(begin + 1, int(np.searchsorted(upto, (upto[begin - 1] if begin else 0) + PAIRS, "right")))
+            n = (hi - lo)[begin:end]
+            at = np.repeat(np.arange(begin, end), n)
+            q = places[np.repeat(lo[begin:end] - (np.cumsum(n) - n), n) + np.arange(len(at))]
+            left, right = self._extent(ids, p[one[at]] - 1, q - 1, -1, length - k), self._extent(ids, p[one[at]], q, 1, length)
+            item = np.searchsorted(self.start, q, "right") - 1
+            keep = left + right >= length
+            pair, of = np.unique(np.stack([at, item])[:, keep], axis=1, return_inverse=True)
+            far = np.zeros((2, pair.shape[1]), np.int64)
+            np.maximum.at(far[0], of.ravel(), left[keep])
+            np.maximum.at(far[1], of.ravel(), right[keep])
+            best.append(np.concatenate([pair, far]))
+            begin = end
+        at, item, left, right = np.concatenate(best, axis=1)
+        # back to all members of the classes
+        members, many = np.argsort(group, kind="stable"), np.bincount(group)
+        n = many[at]
+        pick = np.repeat((np.cumsum(many) - many)[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        place = p[members[pick]]
+        return np.stack([place - np.repeat(left, n), place + np.repeat(right, n), np.repeat(item, n)])
+
+    def _extent(self, ids: np.ndarray, p: np.ndarray, q: np.ndarray, step: int, most: int) -> np.ndarray:
+        """How many words agree from (p, q) on, in steps of 1 or -1, up to ``most``."""
         out, go = np.zeros(len(p), np.int64), np.arange(len(p))
-        while len(go):
-            go = go[ids[p[go] + step * out[go]] == self.ids[q[go] + step * out[go]]]
+        for n in range(most):
+            go = go[ids[p[go] + step * n] == self.ids[q[go] + step * n]]
+            if not len(go):
+                break
             out[go] += 1
         return out
 
@@ -171,7 +223,7 @@ def matched_spans(docs: DataFrame, bench: Benchmark, id_col: str, text_col: str)
     return docs.select(*cols).mapInArrow(run, f"id {kind}, text_key long, n_words long, spans array<struct<s:bigint,e:bigint>>, items array<string>")
 
 
-def contamination(docs: DataFrame, items: DataFrame, window: int = 10, k: int = 5, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", block_bytes: int = 8 << 20) -> DataFrame:
+def contamination(docs: DataFrame, items: DataFrame, window: int = 10, k: int = 5, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = 8 << 20) -> DataFrame:
     """One row per document: id, n_words, n_hit, n_items, items_sha256, contaminated.
 
     A word is hit if it lies in an occurrence of ``window`` consecutive words of an item (of
@@ -181,9 +233,11 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10, k: int =
     contaminates nothing. Other columns are ignored.
     """
     prepare(docs.sparkSession)
-    found = [matched_spans(docs, b, id_col, text_col) for b in _blocks(items, item_col, "text", window, k, block_bytes)]
+    found = [matched_spans(docs, b, id_col, text_col) for b in _blocks(items, item_col, item_text_col, window, k, block_bytes)]
     out = found[0]
     if len(found) > 1:
+        found = [f.checkpoint() for f in found]  # texts are read once a block
+        out = found[0]
         hits = [f.where(F.size("items") > 0).distinct() for f in found]
         more = hits[0]
         for h in hits[1:]:

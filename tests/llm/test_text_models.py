@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 import zlib
 from itertools import product
 
@@ -55,6 +56,35 @@ def test_contamination_matches_brute_force(spark, docs_of, awkward, block_bytes)
     assert sorted(map(tuple, got), key=str) == brute_contamination(docs, items)
 
 
+@pytest.mark.parametrize("pairs", [1 << 20, 7])
+def test_repeated_words_match_brute_force(monkeypatch, pairs):
+    monkeypatch.setattr(decontaminate, "PAIRS", pairs)
+    rng = random.Random(5)
+    for _ in range(150):
+        vocabulary = ["a", "b", "c"][: rng.randint(1, 3)]
+        text = lambda most: " ".join(w for _ in range(rng.randint(0, 6)) for w in [rng.choice(vocabulary)] * rng.randint(1, most))  # noqa: E731, B023
+        items = [(str(i), text(rng.choice([2, 30]))) for i in range(3)]
+        bench = decontaminate.Benchmark(items, 10, 5)
+        doc = text(rng.choice([3, 40])) + " z " + text(20)
+        ids = np.array([0, *(bench.vocabulary.get(w, 0) for w in decontaminate.words(doc)), 0], np.int32)
+        start, end, item = bench.spans(ids)
+        hit = {p - 1 for s, e in zip(start.tolist(), end.tolist(), strict=True) for p in range(s, e)}
+        names = {bench.names[i] for i in item.tolist()}
+        digest = hashlib.sha256(",".join(sorted(names)).encode()).hexdigest()
+        assert brute_contamination([(1, doc)], items) == [(1, len(ids) - 2, len(hit), len(names), digest, bool(hit))]
+
+
+def test_very_many_repeated_words_are_extended_once():
+    n = 30_000
+    bench = decontaminate.Benchmark([("1", "la " * n), ("2", "la li " * n)], 10, 5)
+    began = time.perf_counter()
+    for text in ("la " * n, "la li " * n, "la " * n + "li la " * n):
+        ids = np.array([0, *(bench.vocabulary[w.encode()] for w in text.split()), 0], np.int32)
+        start, end, _ = bench.spans(ids)
+        assert start.min() == 1 and end.max() == len(ids) - 1
+    assert time.perf_counter() - began < 20
+
+
 def test_contamination_of_empty_tables(spark, docs_of, awkward):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.contamination(docs_of(awkward), none).where("contaminated").count() == 0
