@@ -29,7 +29,7 @@ from palimpsest.llm._common import bounded_sample, prepare
 
 UNDETERMINED = "und"
 BLOCK = 2048
-#: Most words a worker keeps scores of, and characters of a word that are scored.
+#: Most words a worker keeps scores of, and characters of a unit that is taken whole; longer ones count as several.
 KEPT, LONGEST = 1 << 20, 64
 #: First code points of script ranges (fixed values) and their names; others are "other".
 SCRIPTS = [
@@ -82,7 +82,6 @@ class Model:
 
     def score(self, words: list[str]) -> np.ndarray:
         """Log scores of words in each language, the best 0; the floor bounds what one word can say."""
-        words = [w[:LONGEST] for w in words]
         get = self.grams.get
         n = np.array([len(w) for w in words])  # as many trigrams as letters
         flat = np.fromiter((get(t, 0) for w in words for t in trigrams(w)), np.int64, int(n.sum()))
@@ -102,13 +101,13 @@ def fit(rows: list[tuple[str, str]], penalty: float = 4.0, least: int = 2, most_
     index = {lang: i for i, lang in enumerate(langs)}
     words: list[Counter] = [Counter() for _ in langs]
     for text, lang in rows:
-        words[index[lang]].update(w for w in map(letters, text.split()) if w)
+        words[index[lang]].update(w for w in map(letters, split(text)) if w)
     model = Model(langs, penalty=penalty)
     grams: list[Counter] = [Counter() for _ in langs]
     seen: dict[str, np.ndarray] = {}
     for i, c in enumerate(words):
         for w, n in c.items():
-            for t in trigrams(w[:LONGEST]):
+            for t in trigrams(w):
                 grams[i][t] += n
             seen.setdefault(script(w), np.zeros(len(langs), np.int64))[i] += n
     # a language belongs to a script that at least a hundredth of its own words are in, however few they are among
@@ -143,13 +142,14 @@ def viterbi(scores: np.ndarray, first: np.ndarray, size: np.ndarray, penalty: fl
     the last row may have.
     """
     k = scores.shape[1]
-    out = np.zeros((len(scores), k if every_end else 1), np.int8)
+    kind = np.int8 if k <= 128 else np.int32
+    out = np.zeros((len(scores), k if every_end else 1), kind)
     order = np.argsort(-size, kind="stable")
     first, size = first[order], size[order]
     longest = int(size[0]) if len(size) else 0
     active = [int(n) for n in np.searchsorted(-size, -np.arange(longest), "left")]  # sequences longer than t
     v = np.zeros((len(size), k)) if start is None else start[order]
-    own = np.arange(k, dtype=np.int8)
+    own = np.arange(k, dtype=kind)
     back = []
     for t in range(longest):
         n = active[t]
@@ -157,10 +157,10 @@ def viterbi(scores: np.ndarray, first: np.ndarray, size: np.ndarray, penalty: fl
         best = u.argmax(axis=1)
         jump = u[np.arange(n), best] - penalty
         stay = u >= jump[:, None]
-        back.append(np.where(stay, own, best.astype(np.int8)[:, None]))
+        back.append(np.where(stay, own, best.astype(kind)[:, None]))
         u = np.where(stay, u, jump[:, None]) + scores[first[:n] + t]
         v[:n] = u - u.max(axis=1, keepdims=True)
-    state = np.tile(own, (len(size), 1)) if every_end else v.argmax(axis=1).astype(np.int8)[:, None]
+    state = np.tile(own, (len(size), 1)) if every_end else v.argmax(axis=1).astype(kind)[:, None]
     for t in range(longest - 1, -1, -1):
         n = active[t]
         out[first[:n] + t] = state[:n]
@@ -258,6 +258,9 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 def language_spans(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, lang_pred, score, spans array<struct<first,last,lang>>.
 
+    Units are separated by white space; those of more than ``LONGEST`` characters (text without white space) count as consecutive
+    pieces, in training and here, and spans count units and pieces.
+
     ``score`` is the share of the text's words (units with letters) in the predicted
     language; ties go to the first name. Null texts and texts without letters, and all
     texts if nothing was learned, are ``und`` with score 0 and no spans. Repeated rows
