@@ -40,21 +40,19 @@ def _spans(turns: Column, t: Template) -> Column:
     return F.aggregate(turns, F.struct(F.lit(0).alias("at"), none.alias("spans")), step, lambda a: a.spans)
 
 
-def preference_pairs(turns: DataFrame, pairs: DataFrame, template: Template = Template(), conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """One row per row of pairs(pair_id, chosen_id, rejected_id).
+def conversations(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
+    """(id, turns array<struct<turn,role,text>>) of each conversation; turns without a conversation are left out.
 
-    pair_id, n_common (turns), n_chosen, n_rejected (turns of the completions), prompt, chosen,
-    rejected (texts), chosen_loss, rejected_loss array<struct<s,e>>. Turns go by turn
-    number, then role, then text; repeated turns stay. A null role is "unknown", a null text empty,
-    and a null turn number comes first. A conversation without turns, or a null id, is
-    empty: nothing is common and its completion is empty. The prompt bears no loss. Repeated
-    pairs come out repeated; other columns are ignored.
+    Turns go by turn number, then role, then text; repeated turns stay. A null role is "unknown", a null text empty, and a null
+    turn number comes first.
     """
     row = F.struct(F.col(turn_col).alias("turn"), F.coalesce(role_col, F.lit("unknown")).alias("role"), F.coalesce(text_col, F.lit("")).alias("text"))
-    talks = turns.where(F.col(conv_col).isNotNull()).groupBy(F.col(conv_col).alias("id")).agg(F.array_sort(F.collect_list(row)).alias("turns"))
-    empty = F.array().cast(talks.schema["turns"].dataType)
-    side = lambda name: talks.select(F.col("id").alias(f"{name}_id"), F.col("turns").alias(name))
-    both = pairs.select("pair_id", "chosen_id", "rejected_id").join(side("chosen"), "chosen_id", "left").join(side("rejected"), "rejected_id", "left")
+    return turns.where(F.col(conv_col).isNotNull()).groupBy(F.col(conv_col).alias("id")).agg(F.array_sort(F.collect_list(row)).alias("turns"))
+
+
+def format_pairs(both: DataFrame, template: Template = Template()) -> DataFrame:
+    """both(pair_id, chosen, rejected) of turns as ``conversations`` gives them (null: empty); the result is that of ``preference_pairs``."""
+    empty = F.array().cast(both.schema["chosen"].dataType)
     both = both.select("pair_id", F.coalesce("chosen", empty).alias("c"), F.coalesce("rejected", empty).alias("r"))
     same = F.zip_with("c", "r", lambda a, b: F.coalesce((a.role == b.role) & (a.text == b.text), F.lit(False)))
     differs = F.array_position(same, F.lit(False))
@@ -65,3 +63,18 @@ def preference_pairs(turns: DataFrame, pairs: DataFrame, template: Template = Te
     losses = [_spans(F.col(c), template).alias(out) for c, out in (("c", "chosen_loss"), ("r", "rejected_loss"))]
     counts = [c.cast("long").alias(out) for c, out in ((F.col("n_common"), "n_common"), (F.size("c"), "n_chosen"), (F.size("r"), "n_rejected"))]
     return cut.select("pair_id", *counts, *texts, *losses)
+
+
+def preference_pairs(turns: DataFrame, pairs: DataFrame, template: Template = Template(), **columns: str) -> DataFrame:
+    """One row per row of pairs(pair_id, chosen_id, rejected_id).
+
+    pair_id, n_common (turns), n_chosen, n_rejected (turns of the completions), prompt, chosen,
+    rejected (texts), chosen_loss, rejected_loss array<struct<s,e>>. Turns are read as by ``conversations``,
+    which takes ``columns``. A conversation without turns, or a null id, is
+    empty: nothing is common and its completion is empty. The prompt bears no loss. Repeated
+    pairs come out repeated; other columns are ignored.
+    """
+    talks = conversations(turns, **columns)
+    side = lambda name: talks.select(F.col("id").alias(f"{name}_id"), F.col("turns").alias(name))
+    both = pairs.select("pair_id", "chosen_id", "rejected_id").join(side("chosen"), "chosen_id", "left").join(side("rejected"), "rejected_id", "left")
+    return format_pairs(both, template)

@@ -12,7 +12,7 @@ from palimpsest.llm._common import crc32_mod, table
 from palimpsest.llm.decontaminate import contamination
 from palimpsest.llm.exact_dedup import exact_duplicates
 from palimpsest.llm.packing import pack_documents
-from palimpsest.llm.preference import preference_pairs
+from palimpsest.llm.preference import conversations, format_pairs
 from palimpsest.llm.simhash import near_duplicates
 from palimpsest.llm.suffix_dedup import repeated_bytes
 from palimpsest.llm.token_counts import token_counts
@@ -43,16 +43,15 @@ def op3_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     The table marks no preferences, so the rejected side is made up: its last assistant turn
     is that of conversation conv_id + 1, or missing if there is none.
     """
-    turns = table(spark, sf_dir, "conversations").where("conv_id IS NOT NULL")
-    last = turns.where("role = 'assistant'").groupBy("conv_id").agg(F.max(F.struct("turn", "text")).alias("last"))
-    other = last.select((F.col("conv_id") - 1).alias("conv_id"), F.col("last.text").alias("other"), F.lit(True).alias("there"))
-    own = turns.join(last.select("conv_id", F.col("last.turn").alias("at")), "conv_id", "left").join(other, "conv_id", "left")
-    swap = F.coalesce((F.col("turn") == F.col("at")) & (F.col("role") == "assistant"), F.lit(False))
-    chosen = turns.select((F.col("conv_id") * 2).alias("conv_id"), "turn", "role", "text")
-    rejected = own.where(~swap | F.col("there")).select((F.col("conv_id") * 2 + 1).alias("conv_id"), "turn", "role", F.when(swap, F.col("other")).otherwise(F.col("text")).alias("text"))
-    ids = turns.select("conv_id").distinct()
-    pairs = ids.select(F.col("conv_id").alias("pair_id"), (F.col("conv_id") * 2).alias("chosen_id"), (F.col("conv_id") * 2 + 1).alias("rejected_id"))
-    out = preference_pairs(chosen.union(rejected), pairs)
+    talks = conversations(table(spark, sf_dir, "conversations"))
+    last = F.array_max(F.transform(F.filter("turns", lambda x: x.role == "assistant"), lambda x: F.struct(x.turn.alias("turn"), x.text.alias("text"))))
+    talks = talks.withColumn("last", last)
+    after = talks.where("last IS NOT NULL").select(F.try_subtract("id", F.lit(1)).alias("id"), F.col("last.text").alias("other"), F.lit(True).alias("there"))
+    both = talks.join(after, "id", "left")
+    swap = lambda x: F.coalesce((x.turn == F.col("last.turn")) & (x.role == "assistant"), F.lit(False))
+    kept = F.filter("turns", lambda x: ~swap(x) | F.col("there").isNotNull())
+    rejected = F.array_sort(F.transform(kept, lambda x: F.struct(x.turn.alias("turn"), x.role.alias("role"), F.when(swap(x), F.col("other")).otherwise(x.text).alias("text"))))
+    out = format_pairs(both.select(F.col("id").alias("pair_id"), F.col("turns").alias("chosen"), rejected.alias("rejected")))
     listed = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws("-", x.s.cast("string"), x.e.cast("string"))), ",").alias(c)
     return out.select("pair_id", "n_common", "n_chosen", "n_rejected", "prompt", "chosen", "rejected", listed("chosen_loss"), listed("rejected_loss"))
 
