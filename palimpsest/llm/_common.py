@@ -17,13 +17,16 @@ def prepare(spark: SparkSession) -> SparkSession:
     """Bound Arrow batches and make sure a checkpoint folder is set.
 
     The folder is the one the cluster names in ``spark.checkpoint.dir``; only where
-    that is unset (tests, one machine) a temporary one is used.
+    that is unset and the master is local (tests, one machine) a temporary one is used.
     """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     sc = spark.sparkContext
-    if not sc.getConf().get("spark.checkpoint.dir") and sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="palimpsest-"))
+    if sc.getCheckpointDir() is None:
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="palimpsest-"))
     return spark
 
 
@@ -45,6 +48,67 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}-{name}"
 
 
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Removes a folder of ``shared_path``."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, made longer until no column of df has it (whatever the case of its letters)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def text_digest(text_col: str) -> Column:
+    """SHA-256 of a text; a null one counts as empty."""
+    return F.sha2(F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8"), 256)
+
+
+def with_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, parts: int = 64, share: int = 256) -> DataFrame:
+    """rows joined with groups (one row a key, ``size``: its number of rows), hot keys dealt to ``parts`` tasks.
+
+    A key is hot if it has over 1/``share`` of all rows, so there are fewer than ``share`` of them and their hashes fit in a
+    literal; the rows of groups are repeated for hot keys only. rows must be checkpointed or read from files, as the
+    deal goes by their places.
+    """
+    total = groups.agg(F.sum(size)).first()[0] or 0
+    hot = [r[0] for r in groups.where(F.col(size) * share > total).select(F.xxhash64(key)).distinct().collect()]
+    if not hot:
+        return rows.join(groups, key)
+    is_hot = F.xxhash64(key).isin(hot)
+    salt = free_name(rows, "salt")
+    dealt = rows.withColumn(salt, F.when(is_hot, F.pmod(F.monotonically_increasing_id(), F.lit(parts)).cast("int")).otherwise(0))
+    copies = groups.withColumn(salt, F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.lit(0)))))
+    return dealt.join(copies, [key, salt]).drop(salt)
+
+
+def one_of_each(docs: DataFrame, id_col: str, text_col: str, digest: str) -> DataFrame:
+    """One row of those with the same id (null included) and text, with the text's digest in column ``digest``.
+
+    Of such rows that differ in other columns the first in their order stays. Repeats go before the shuffle, so a row that
+    repeats very often costs a row a task.
+    """
+    keyed = docs.withColumn(digest, text_digest(text_col))
+    rest = [F.col(f"`{f.name}`") for f in docs.schema.fields if f.name not in (id_col, text_col) and not f.dataType.simpleString().startswith(("map", "variant"))]
+    order = Window.partitionBy(id_col, digest).orderBy(F.col(text_col).isNull(), *rest)
+    nr = free_name(keyed, "nr")
+    return keyed.withColumn(nr, F.row_number().over(order)).where(F.col(nr) == 1).drop(nr)
+
+
+def only(docs: DataFrame, keys: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, whose id and text's digest are among keys(id, text_sha256), each once."""
+    digest = free_name(docs, "text_sha256")
+    rows = one_of_each(docs, id_col, text_col, digest)
+    mine, theirs = free_name(rows, "kept_id"), free_name(rows, "kept_digest")
+    wanted = keys.select(F.col(id_col).alias(mine), F.col("text_sha256").alias(theirs))
+    found = F.col(id_col).eqNullSafe(F.col(mine)) & (F.col(digest) == F.col(theirs))
+    return rows.join(wanted, found, "left_semi").select(*(f"`{c}`" for c in docs.columns))
+
+
 def bounded_sample(rows: DataFrame, id_col: str, text_col: str, most_rows: int, most_bytes: int) -> list:
     """Rows for fitting a model: the first in hash order of their id, at most ``most_rows`` and ``most_bytes`` of text.
 

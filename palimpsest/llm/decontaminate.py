@@ -188,6 +188,19 @@ def _blocks(items: DataFrame, item_col: str, text_col: str, window: int, k: int,
         yield Benchmark(sorted({(r.i, r.t) for r in part.toLocalIterator()}, key=lambda r: (r[0] or "", r[1] or "")), window, k)
 
 
+def _ids(texts: pa.Array, vocabulary: dict[bytes, int]) -> tuple[np.ndarray, list[int], list[int]]:
+    """Word ids of texts one after another, a 0 before, between and after; where each text starts, and its number of words."""
+    ids, first, counts = [np.zeros(1, np.int32)], [], []
+    at = 1
+    for t in texts:
+        w = words(t.as_py())
+        ids += [np.fromiter(map(vocabulary.get, w, repeat(0)), np.int32, len(w)), ids[0]]
+        first.append(at)
+        counts.append(len(w))
+        at += len(w) + 1
+    return np.concatenate(ids), first, counts
+
+
 def matched_spans(docs: DataFrame, bench: Benchmark, id_col: str, text_col: str) -> DataFrame:
     """(id, text_key, n_words, spans array<struct<s,e>>, items array<string>) per row; spans are merged."""
     sent = docs.sparkSession.sparkContext.broadcast(bench)
@@ -195,17 +208,9 @@ def matched_spans(docs: DataFrame, bench: Benchmark, id_col: str, text_col: str)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
         span_type, item_type = pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())])), pa.list_(pa.string())
-        get = own.vocabulary.get
         for b in batches:
-            ids, first, counts = [np.zeros(1, np.int32)], [], []
-            at = 1
-            for t in b.column(2):
-                w = words(t.as_py())
-                ids += [np.fromiter(map(get, w, repeat(0)), np.int32, len(w)), ids[0]]
-                first.append(at)
-                counts.append(len(w))
-                at += len(w) + 1
-            start, end, item = own.spans(np.concatenate(ids))
+            ids, first, counts = _ids(b.column(2), own.vocabulary)
+            start, end, item = own.spans(ids)
             spans: list[list] = [[] for _ in counts]
             items: list[set] = [set() for _ in counts]
             for d, s, e, i in zip((np.searchsorted(first, start, "right") - 1).tolist(), start.tolist(), end.tolist(), item.tolist(), strict=True):
@@ -223,6 +228,28 @@ def matched_spans(docs: DataFrame, bench: Benchmark, id_col: str, text_col: str)
     return docs.select(*cols).mapInArrow(run, f"id {kind}, text_key long, n_words long, spans array<struct<s:bigint,e:bigint>>, items array<string>")
 
 
+def keep_clean(docs: DataFrame, items: DataFrame, window: int = 10, k: int = 5, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = 8 << 20) -> DataFrame:
+    """The rows of docs, all columns, of whose text no word is hit; no shuffle, and blocks follow one another in one pass."""
+    spark = prepare(docs.sparkSession)
+    at = docs.columns.index(text_col)
+
+    def filtered(rows: DataFrame, bench: Benchmark) -> DataFrame:
+        sent = spark.sparkContext.broadcast(bench)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                ids, first, _ = _ids(b.column(at), sent.value.vocabulary)
+                clean = np.ones(b.num_rows, bool)
+                clean[np.searchsorted(first, sent.value.spans(ids)[0], "right") - 1] = False
+                yield b.filter(pa.array(clean))
+
+        return rows.mapInArrow(run, docs.schema)
+
+    for bench in _blocks(items, item_col, item_text_col, window, k, block_bytes):
+        docs = filtered(docs, bench)
+    return docs
+
+
 def contamination(docs: DataFrame, items: DataFrame, window: int = 10, k: int = 5, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = 8 << 20) -> DataFrame:
     """One row per document: id, n_words, n_hit, n_items, items_sha256, contaminated.
 

@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.llm._common import prepare
+from palimpsest.llm._common import only, prepare, with_groups
 
 #: Least and most characters of a chunk, and the characters before and at a cut.
 LEAST, MOST, BEFORE, AT = 256, 4096, "aeinrst", ".!?\\n"
@@ -64,6 +64,15 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     prepare(docs.sparkSession)
     made = recipes(docs, id_col, text_col, chunk_hash).checkpoint()
-    groups = made.groupBy("recipe").agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size"))
-    out = made.join(groups, "recipe")
+    groups = made.groupBy("recipe").agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size")).checkpoint()
+    out = with_groups(made, groups, "recipe", "group_size")
     return out.select(F.col("id").alias(id_col), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, that stay: of equal texts (null: empty) one row, that with the largest id.
+
+    Of rows with the same id and text one stays, a text before a null, then the first by the other columns. A null id is smaller than any other.
+    """
+    made = exact_duplicates(docs, id_col, text_col).where(F.col(id_col).eqNullSafe(F.col("keep_id")))
+    return only(docs, made.select(id_col, "text_sha256").distinct(), id_col, text_col)

@@ -96,7 +96,7 @@ def same_partition(a, b):
     return len(set(a.values())) == len(set(b.values())) == len({(a[x], b[x]) for x in a}) and a.keys() == b.keys()
 
 
-@pytest.mark.parametrize("dense", [256, 2])
+@pytest.mark.parametrize("dense", [256, 8, 2])
 def test_links_connect_what_is_near(spark, dense):
     rng = random.Random(dense)
     prints = set()

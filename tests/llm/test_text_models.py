@@ -261,3 +261,102 @@ def test_a_sample_of_one_repeated_id_ends(spark):
     assert 1 <= len(bounded_sample(rows, "i", "t", 400, 10_000)) <= 14
     same = spark.createDataFrame([(1, "x" * 900)] * 50, "i long, t string")
     assert len(bounded_sample(same, "i", "t", 400, 10_000)) == 11
+
+
+def brute_language(model, text):
+    """Scores word by word and the best path by plain dynamic programming over whole texts."""
+    pieces = [u[i : i + 64] for u in (text or "").split() for i in range(0, len(u), 64)]
+    at, scores = [], []
+    for i, u in enumerate(pieces):
+        if w := langid.letters(u):
+            row = np.zeros(len(model.langs))
+            for k in range(len(w)):
+                row += model.gram_scores[model.grams.get(f"<{w}>"[k : k + 3], 0)]
+            row = row * min(len(w), 6) / len(w) + model.word_scores[model.words.get(w, 0)]
+            allowed = model.scripts.get(langid.script(w))
+            if allowed is not None:
+                row[~allowed] = -np.inf
+            scores.append(np.maximum(row - row.max(), -8))
+            at.append(i)
+    if not at:
+        return "und", 0.0, []
+    best, back = scores[0].copy(), []
+    for row in scores[1:]:
+        top = best.argmax()
+        stay = best >= best[top] - model.penalty
+        back.append(np.where(stay, np.arange(len(best)), top))
+        best = np.where(stay, best, best[top] - model.penalty) + row
+    path = [int(best.argmax())]
+    for b in reversed(back):
+        path.append(int(b[path[-1]]))
+    path.reverse()
+    n = np.bincount(path, minlength=len(model.langs))
+    spans = []
+    for i, k in zip(at, path, strict=True):
+        if spans and spans[-1][2] == model.langs[k]:
+            spans[-1] = (spans[-1][0], i, spans[-1][2])
+        else:
+            spans.append((i, i, model.langs[k]))
+    return model.langs[int(n.argmax())], n.max() / n.sum(), spans
+
+
+@pytest.mark.parametrize("languages", [3, 200])
+def test_languages_match_brute_force(spark, docs_of, awkward, languages, monkeypatch):
+    monkeypatch.setattr(langid, "BLOCK", 64)
+    rng = random.Random(languages)
+    vocabulary = [["".join(rng.choice("abcdefghijklmnopé") for _ in range(rng.randint(2, 8))) for _ in range(12)] for _ in range(languages)]
+    text = lambda k, n: " ".join(rng.choice(vocabulary[k]) for _ in range(n))
+    model = langid.fit([(text(k, 60) + " " + "слово" * (k == 1), f"l{k:03}") for k in range(languages) for _ in range(2)])
+    assert len(model.langs) == languages and np.isfinite(model.gram_scores).all()
+    rows = awkward[:6] + awkward[9:] if languages == 3 else []
+    rows = rows + [(100 + i, " ".join(text(rng.randrange(languages), rng.randint(1, 90)) for _ in range(rng.randint(1, 4)))) for i in range(20)]
+    rows += [(200, text(0, 40).replace(" ", "") + " слово, " + "".join(vocabulary[1])), (201, "слово " * 300)]
+    got = {r.doc_id: r for r in langid.language_spans(docs_of(rows), model).collect()}
+    for i, t in rows:
+        lang, score, spans = brute_language(model, t)
+        assert (got[i].lang_pred, [tuple(s) for s in got[i].spans]) == (lang, spans)
+        assert got[i].score == pytest.approx(score)
+
+
+def test_toxicity_scores_match_brute_force(spark, docs_of, awkward):
+    rng = np.random.default_rng(5)
+    model = toxicity.Model(rng.normal(size=997), -0.3, 8, 1.7, 0.2)
+    words = ["you", "fool!!", "...", "Ärger", "x" * 70, "joined_" * 20, "中文" * 50]
+    rows = awkward + [(100 + i, " ".join(rng.choice(words, rng.integers(1, 40)))) for i in range(30)]
+    got = toxicity.toxicity(docs_of(rows), model).collect()
+    want = []
+    for i, t in rows:
+        parts = []
+        for u in toxicity.units(t):
+            w = toxicity.bare(u)
+            g = toxicity.grams(w, 997) if w else []
+            parts.append((sum(model.logits[g]), len(g)))
+        windows = [parts[k : k + 8] for k in range(max(1, len(parts) - 7))] if parts else [[]]
+        z = model.bias + max(sum(p[0] for p in w) / max(1, sum(p[1] for p in w)) for w in windows)
+        want.append((i, 1 / (1 + np.exp(-(z * 1.7 + 0.2)))))
+    assert len(got) == len(rows)
+    for a, b in zip(sorted(got, key=lambda r: (str(r.doc_id), r.score)), sorted(want, key=lambda r: (str(r[0]), r[1])), strict=True):
+        assert a.doc_id == b[0] and a.score == pytest.approx(b[1], abs=1e-9) and a.predicted == (a.score >= 0.3)
+
+
+def test_quality_matches_brute_force(spark, docs_of, awkward):
+    rng = np.random.default_rng(6)
+    model = quality.Model(rng.normal(size=499), np.array([-0.5, 0.1, 0.9]))
+    rows = awkward + [(100 + i, " ".join(rng.choice(["Good", "text.", "x" * 150, "É9", "!!"], rng.integers(1, 20)))) for i in range(20)]
+    got = quality.quality(docs_of(rows), model, tail=2).collect()
+    want = []
+    for i, t in rows:
+        pieces = [u[k : k + 64] for u in (t or "").split() for k in range(0, len(u), 64)]
+        z = sum(model.weights[f] for u in pieces for f in quality.features(u, 499)) / max(1, len(pieces))
+        p = [1 / (1 + np.exp(-(z - k))) for k in model.thresholds]
+        want.append((i, sum(p), p[1]))
+    for a, b in zip(sorted(got, key=lambda r: (str(r.doc_id), r.tail_prob)), sorted(want, key=lambda r: (str(r[0]), r[2])), strict=True):
+        assert a.doc_id == b[0] and (a.expected_grade, a.tail_prob) == pytest.approx(b[1:], abs=1e-9) and a.selected == (a.tail_prob >= 0.5)
+
+
+def test_quality_gradients_lower_the_loss():
+    rng = random.Random(7)
+    rows = [(" ".join(rng.choice(["bad", "poor", "so"] if y == 0 else ["fine", "so", "ok"] if y == 1 else ["great", "fine", "best"]) for _ in range(12)), y) for y in [0, 1, 2] * 60]
+    loss = lambda m: -np.mean([np.log(max(1e-12, (1 if y == 0 else p[y - 1]) - (0 if y == 2 else p[y]))) for (_, y), p in zip(rows, m.tails(quality.Scorer(m).latent([t for t, _ in rows])), strict=True)])
+    first, later = quality.fit(rows, 3, epochs=1), quality.fit(rows, 3, epochs=30)
+    assert loss(later) < 0.5 * loss(first) and (np.diff(later.thresholds) > 0).all()
