@@ -5,44 +5,34 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from palimpsest.llm._common import shared_path, table
-from palimpsest.llm.decontaminate import contamination
-from palimpsest.llm.exact_dedup import exact_duplicates
+from palimpsest.llm import decontaminate, exact_dedup, simhash, toxicity
+from palimpsest.llm._common import drop_path, shared_path, table
 from palimpsest.llm.packing import pack_documents
 from palimpsest.llm.queries import tokenizer_path, toxicity_model
-from palimpsest.llm.simhash import near_duplicates
-from palimpsest.llm.toxicity import keep_clean
 
 #: Toxicity and packing are not expressible in SQL.
 ORACLE_SQL = None
 
 
-def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id (null included) is among ids(doc_id)."""
-    keep = ids.select(F.col("doc_id").alias("keep"))
-    return docs.join(keep, F.col("doc_id").eqNullSafe(F.col("keep")), "left_semi")
-
-
 def nontoxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents predicted toxic (score from 0.3 on) go; the model is that of the toxicity query."""
-    return keep_clean(docs, toxicity_model(spark, sf_dir))
+    return toxicity.keep_clean(docs, toxicity_model(spark, sf_dir))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the largest doc_id stays."""
-    return _only(docs, exact_duplicates(docs).where("kept"))
+    """Of equal texts (null: empty) one row stays, that with the largest doc_id; see ``keep_one`` for ties and nulls."""
+    return exact_dedup.keep_one(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near-duplicates the row with the smallest doc_id stays."""
-    return _only(docs, near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))))
+    """Of each component of near-duplicates one row stays, that with the smallest doc_id; see ``keep_first`` for ties and nulls."""
+    return simhash.keep_first(docs)
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a window of a benchmark item go."""
-    return _only(docs, contamination(docs, table(spark, sf_dir, "benchmark")).where("NOT contaminated"))
+    """Rows whose text holds a window of a benchmark item go, each by its own text."""
+    return decontaminate.keep_clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,10 +50,16 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each result is written as Parquet in the shared folder and reread."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over documents; each result is written as Parquet in the shared folder and reread.
+
+    The folder of a stage is removed when the next one is written, so only the last one's stays.
+    """
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         path = shared_path(spark, name)
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            drop_path(spark, before)
+        before = path
     return docs
