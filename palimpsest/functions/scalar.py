@@ -102,3 +102,8 @@ def cipher_length(plain: Column) -> Column:
 def entry_length(uncompressed: Column) -> Column:
     """Bytes that a blob's entry takes in the header of its pack."""
     return F.when(uncompressed > 0, ENTRY_COMPRESSED).otherwise(ENTRY_PLAIN)
+
+
+def digest_number(c: Column) -> Column:
+    """The first 32 bits of the SHA-256 of a string, as a number to deal rows by."""
+    return F.conv(F.substring(F.sha2(c, 256), 1, 8), 16, 10).cast("long")

@@ -43,10 +43,13 @@ def empty(spark: SparkSession, schema: str) -> DataFrame:
 
 
 def with_checkpoints(spark: SparkSession) -> SparkSession:
-    """Makes sure of a checkpoint folder: the cluster's, or a temporary one where none is set."""
+    """Makes sure of a checkpoint folder: the cluster's, or a temporary one where none is set and the master is local."""
     sc = spark.sparkContext
-    if not sc.getConf().get("spark.checkpoint.dir") and sc.getCheckpointDir() is None:
+    if sc.getCheckpointDir() is None:
         import tempfile
 
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="palimpsest-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not sc.master.startswith("local"):
+            raise RepositoryError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="palimpsest-"))
     return spark

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions.glob import matches_list
-from palimpsest.functions.scalar import entry_length, parent_path
+from palimpsest.functions.scalar import digest_number, entry_length, parent_path
 from palimpsest.model import HEADER, PACK_DEFAULT
 from palimpsest.operators.diff import same_node
 
@@ -148,20 +148,24 @@ def new_blobs(blobs: DataFrame, index: DataFrame, store_duplicates: bool = False
     return blobs if store_duplicates else blobs.dropDuplicates(_KEY).join(index.select(*_KEY), _KEY, "left_anti")
 
 
-def assemble_packs(blobs: DataFrame, pack_size: int = PACK_DEFAULT, shards: int = 16) -> DataFrame:
+def assemble_packs(blobs: DataFrame, pack_size: int = PACK_DEFAULT, shard_packs: int = 64) -> DataFrame:
     """Blobs put into packs: pack_id, offset.
 
-    Blobs are dealt to shards by id and put one after another in id order; a pack is cut where its size is
-    reached. A larger blob gets a pack of its own by that rule. Pack ids are hashes of what they hold.
+    Blobs are dealt to shards by id (about ``shard_packs`` packs each, so their number grows with the bytes) and put one after
+    another in id order; a pack ends with the blob that reaches its size. A blob of ``pack_size`` or more gets a pack of its own.
+    Pack ids are hashes of what the packs hold.
     """
-    sized = blobs.withColumn("_shard", F.pmod(F.xxhash64("blob_id"), F.lit(shards)))
-    order = Window.partitionBy("blob_type", "_shard").orderBy("blob_id")
-    full = F.sum("length").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("length")
-    cut = sized.withColumn("_pack", F.floor(full / pack_size))
-    inside = Window.partitionBy("blob_type", "_shard", "_pack").orderBy("blob_id")
-    offset = F.sum("length").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("length")
-    first = F.first("blob_id").over(inside)
-    return cut.withColumns({"offset": offset, "pack_id": F.sha2(F.concat("blob_type", first), 256)}).drop("_shard", "_pack")
+    total = blobs.agg(F.sum("length")).first()[0] or 0
+    shards = max(1, -(-int(total) // (pack_size * shard_packs)))
+    sized = blobs.withColumns({"_own": F.col("length") >= pack_size, "_shard": digest_number(F.col("blob_id")) % shards})
+    deal = ["blob_type", "_own", "_shard"]
+    before = F.sum("length").over(Window.partitionBy(*deal).orderBy("blob_id").rowsBetween(Window.unboundedPreceding, 0)) - F.col("length")
+    cut = sized.withColumn("_pack", F.when(F.col("_own"), F.col("blob_id")).otherwise(F.floor(before / pack_size).cast("string")))
+    whole = Window.partitionBy(*deal, "_pack")
+    offset = F.sum("length").over(whole.orderBy("blob_id").rowsBetween(Window.unboundedPreceding, 0)) - F.col("length")
+    held = [F.min("blob_id").over(whole), F.max("blob_id").over(whole), F.count("*").over(whole), F.sum("length").over(whole), F.bit_xor(F.xxhash64("blob_id", "length")).over(whole)]
+    pack_id = F.sha2(F.concat_ws(" ", "blob_type", *(h.cast("string") for h in held)), 256)
+    return cut.withColumns({"offset": offset, "pack_id": pack_id}).drop("_own", "_shard", "_pack")
 
 
 def pack_layout(index: DataFrame) -> DataFrame:

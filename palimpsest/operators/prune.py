@@ -1,7 +1,7 @@
 """Planning of garbage collection: which packs stay, go or are repacked.
 
 Everything is a join or an aggregate but for two order-dependent choices, each over a small part: which copy of a
-duplicated blob counts (rows of duplicated blobs only), and which candidates fit the repack
+duplicated blob counts (rounds over the blobs that only packs with waste hold), and which candidates fit the repack
 budget (a row a candidate pack, for the driver).
 """
 
@@ -12,8 +12,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.functions.scalar import entry_length
-from palimpsest.model import HEADER, PACK_LEAST, RepositoryError
+from palimpsest.functions.scalar import digest_number, entry_length
+from palimpsest.model import HEADER, PACK_DEFAULT, PACK_LEAST, RepositoryError, with_checkpoints
+from palimpsest.operators.ingest import assemble_packs
 
 _KEY = ["blob_type", "blob_id"]
 
@@ -48,17 +49,44 @@ def missing_blobs(index: DataFrame, used: DataFrame) -> DataFrame:
 def classify(index: DataFrame, used: DataFrame) -> DataFrame:
     """Index rows with state: used (the copy that counts), duplicate or unused.
 
-    A used blob's copies are in one pack or in several. The copy that counts is in the pack that already holds most
-    blobs used only there, ties by pack id, so that packs needed anyway are filled first.
+    Blobs with several copies are gone through in order of type and id, their copies by pack id. The first copy in a pack that takes
+    it counts, or else the last one. A pack takes copies if it has a blob that counts, or nothing but copies; so
+    a copy that counts for want of another makes its pack take those after it.
     """
     rows = index.select("pack_id", *_KEY, "length", "uncompressed_length").distinct()
-    copies = Window.partitionBy(*_KEY)
-    marked = rows.join(used.select(*_KEY, F.lit(True).alias("needed")), _KEY, "left").withColumn("copies", F.count("*").over(copies))
-    alone = marked.where("needed AND copies = 1").groupBy("pack_id").agg(F.count("*").alias("alone"))
-    order = copies.orderBy(F.coalesce("alone", F.lit(0)).desc(), "pack_id")
-    chosen = marked.join(alone, "pack_id", "left").withColumn("nr", F.row_number().over(order))
-    state = F.when(F.col("needed").isNull(), "unused").when(F.col("nr") == 1, "used").otherwise("duplicate")
-    return chosen.select("pack_id", *_KEY, "length", "uncompressed_length", state.alias("state"))
+    marked = rows.join(used.select(*_KEY, F.lit(True).alias("needed")), _KEY, "left").withColumn("copies", F.count("*").over(Window.partitionBy(*_KEY)))
+    marked = marked.withColumn("needed", F.coalesce("needed", F.lit(False)))
+    chosen = _chosen_copies(marked).withColumn("chosen", F.lit(True))
+    state = F.when(~F.col("needed"), "unused").when((F.col("copies") == 1) | F.col("chosen"), "used").otherwise("duplicate")
+    return marked.join(chosen, [*_KEY, "pack_id"], "left").select("pack_id", *_KEY, "length", "uncompressed_length", state.alias("state"))
+
+
+def _chosen_copies(marked: DataFrame) -> DataFrame:
+    """(blob_type, blob_id, pack_id) of the copy that counts of each needed blob with several.
+
+    Only blobs without a copy in a pack that takes them from the start can make another pack take copies. When each such pack
+    begins to is found in rounds over these blobs alone: a blob is decided once no undecided one before it could open one
+    of its packs, so each round decides the first at least, and as a rule nearly all.
+    """
+    spark = with_checkpoints(marked.sparkSession)
+    takes = (F.count_if(F.col("needed") & (F.col("copies") == 1)) > 0) | (F.count_if(~F.col("needed")) == 0)
+    packs = marked.groupBy("pack_id").agg(takes.alias("takes"))
+    several = marked.where("needed AND copies > 1").select(F.struct(*_KEY).alias("blob"), "pack_id")
+    several = several.join(packs, "pack_id").checkpoint()
+    closed = several.groupBy("blob").agg(F.max("takes").alias("open"), F.max("pack_id").alias("last")).where("NOT open").drop("open")
+    todo = several.select("blob", "pack_id").join(closed, "blob").checkpoint()
+    opened = spark.createDataFrame([], several.select("pack_id", F.col("blob").alias("since")).schema)
+    while not todo.isEmpty():
+        might = todo.select("blob", "last").distinct().groupBy(F.col("last").alias("pack_id")).agg(F.min("blob").alias("might"))
+        each = todo.join(opened, "pack_id", "left").join(might, "pack_id", "left")
+        before = lambda c: F.max(F.coalesce(F.col(c) < F.col("blob"), F.lit(False)))
+        known = each.groupBy("blob", "last").agg(before("since").alias("taken"), before("might").alias("unsure")).checkpoint()
+        opens = known.where("NOT taken AND NOT unsure").groupBy(F.col("last").alias("pack_id")).agg(F.min("blob").alias("since"))
+        opened = opened.union(opens).groupBy("pack_id").agg(F.min("since").alias("since")).checkpoint()
+        todo = todo.join(known.where("NOT taken AND unsure").select("blob"), "blob", "left_semi").checkpoint()
+    ready = F.col("takes") | F.coalesce(F.col("since") < F.col("blob"), F.lit(False))
+    best = several.join(opened, "pack_id", "left").groupBy("blob").agg(F.min(F.when(ready, F.col("pack_id"))).alias("first"), F.max("pack_id").alias("last"))
+    return best.select("blob.*", F.coalesce("first", "last").alias("pack_id"))
 
 
 def pack_infos(classified: DataFrame) -> DataFrame:
@@ -120,6 +148,8 @@ def plan(index: DataFrame, used: DataFrame, packs: DataFrame, options: Options =
     Raises if a used blob isn't indexed, or a needed pack is missing or damaged. The
     budget is applied in candidate order; a pack that doesn't fit is skipped, later smaller ones may fit.
     """
+    with_checkpoints(index.sparkSession)
+    used = used.checkpoint()
     if not missing_blobs(index, used).isEmpty():
         raise RepositoryError("the index is incomplete: used blobs are missing")
     decided = decide(pack_infos(classify(index, used)), packs, options).checkpoint()
@@ -157,6 +187,32 @@ def blobs_to_copy(classified: DataFrame, planned: DataFrame) -> DataFrame:
     return classified.where("state <> 'unused'").select(*_KEY).distinct().join(kept, _KEY, "left_anti")
 
 
+def repack(classified: DataFrame, planned: DataFrame, pack_size: int = PACK_DEFAULT) -> DataFrame:
+    """Index rows of the packs to be written: each blob that would be lost with its packs, once, put into new packs.
+
+    pack_id, blob_type, blob_id, offset, length, uncompressed_length. A blob is taken from a copy in a pack that is
+    repacked if it has one, then by pack id.
+    """
+    lost = blobs_to_copy(classified, planned)
+    rank = F.when(F.col("action") == "repack", 0).otherwise(1)
+    source = classified.join(planned.select("pack_id", "action"), "pack_id").join(lost, _KEY, "left_semi")
+    first = source.groupBy(*_KEY).agg(F.min(F.struct(rank.alias("rank"), "pack_id", "length", "uncompressed_length")).alias("s"))
+    return assemble_packs(first.select(*_KEY, "s.length", "s.uncompressed_length"), pack_size)
+
+
+def repacked_index(index: DataFrame, classified: DataFrame, planned: DataFrame, pack_size: int = PACK_DEFAULT) -> DataFrame:
+    """The index after a prune: rows of kept packs, and those of the packs written by ``repack`` under index "new"."""
+    cols = ["index_id", "pack_id", *_KEY, "length", "uncompressed_length"]
+    kept = index.join(planned.where("action = 'keep'").select("pack_id"), "pack_id", "left_semi").select(*cols)
+    return kept.union(repack(classified, planned, pack_size).withColumn("index_id", F.lit("new")).select(*cols))
+
+
+def pack_data(assembled: DataFrame, blob_data: DataFrame) -> DataFrame:
+    """(pack_id, blob_type, blob_id, offset, data) of packs to write, from any stored copy whose data has the blob's hash."""
+    good = blob_data.where(F.sha2("data", 256) == F.col("blob_id")).select(*_KEY, "data").dropDuplicates(_KEY)
+    return assembled.join(good, _KEY).select("pack_id", *_KEY, "offset", "data")
+
+
 def steps(planned: DataFrame) -> DataFrame:
     """Ordered work: a crash after any step loses nothing."""
     order = F.when(F.col("action") == "remove_first", 1).when(F.col("action") == "repack", 2).when(F.col("action") == "remove", 4)
@@ -173,5 +229,5 @@ def rewrite_index(index: DataFrame, removed: DataFrame, full: int = 50_000) -> D
     per = rest.groupBy("pack_id").agg(F.count("*").alias("n"))
     parts = max(1, -(-rest.count() // full))
     # packs are dealt to parts by hash, so no global order is needed
-    cut = per.select("pack_id", F.concat(F.lit("new-"), F.pmod(F.xxhash64("pack_id"), F.lit(parts)).cast("string")).alias("index_id"))
+    cut = per.select("pack_id", F.concat(F.lit("new-"), (digest_number(F.col("pack_id")) % parts).cast("string")).alias("index_id"))
     return stay.unionByName(rest.join(cut, "pack_id").select(*index.columns))

@@ -1,8 +1,8 @@
 """Trees of directory nodes: walks, reachability, lookup by path, listings and joins.
 
 The tables are snapshots(id, tree) and nodes(tree_id, name, type, content, subtree, ...). A walk goes
-down level by level with one equi-join a level; each level is checkpointed, so neither
-the plan nor the lineage grows with the depth.
+down level by level with one equi-join a level, over directories only; each level is checkpointed, so the lineage does
+not grow with the depth.
 """
 
 from __future__ import annotations
@@ -20,33 +20,38 @@ def walk(snapshots: DataFrame, nodes: DataFrame, descend: Column | None = None)
 
     ``descend`` (over path and the node's columns) tells which directories are gone into; that
     is where pruning belongs, as a filter on the result doesn't reach the levels above.
+    Only directories are gone through level by level; all nodes join them once, at the end.
     """
     with_checkpoints(nodes.sparkSession)
-    front = snapshots.select(F.col("id").alias("snapshot_id"), F.col("tree").alias("at"), F.lit("/").alias("up"))
-    out, depth = None, 0
+    edges = nodes.where("type = 'dir' AND subtree IS NOT NULL")
+    edges = edges.select("tree_id", "name", "subtree") if descend is None else edges
+    front = snapshots.select(F.col("id").alias("snapshot_id"), F.col("tree").alias("at"), F.lit("/").alias("up"), F.lit(1).alias("depth"))
+    folders = front
     while True:
-        depth += 1
-        level = front.join(nodes, F.col("at") == F.col("tree_id")).drop("at")
-        level = level.withColumns({"path": join_path(F.col("up"), F.col("name")), "depth": F.lit(depth)}).drop("up")
-        level = level.select("snapshot_id", "path", "depth", *nodes.columns).checkpoint()
-        out = level if out is None else out.union(level)
-        below = level.where((F.col("type") == "dir") & F.col("subtree").isNotNull())
+        below = front.join(edges, F.col("at") == F.col("tree_id")).withColumn("path", join_path(F.col("up"), F.col("name")))
         below = below if descend is None else below.where(descend)
-        front = below.select("snapshot_id", F.col("subtree").alias("at"), F.col("path").alias("up"))
-        if below.isEmpty():
-            return out
+        front = below.select("snapshot_id", F.col("subtree").alias("at"), F.col("path").alias("up"), (F.col("depth") + 1).alias("depth")).checkpoint()
+        if front.isEmpty():
+            break
+        folders = folders.union(front)
+    path = join_path(F.col("up"), F.col("name")).alias("path")
+    return folders.join(nodes, F.col("at") == F.col("tree_id")).select("snapshot_id", path, "depth", *nodes.columns)
 
 
 def reachable_trees(roots: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(tree_id) of every different tree that roots(tree_id) reach, each once however often it is shared."""
+    """(tree_id) of every different tree that roots(tree_id) reach, each once however often it is shared.
+
+    Each level is written once; trees seen before are looked up in all levels so far.
+    """
     with_checkpoints(nodes.sparkSession)
-    edges = nodes.where("subtree IS NOT NULL").select(F.col("tree_id").alias("up"), F.col("subtree").alias("tree_id")).distinct()
+    edges = nodes.where("subtree IS NOT NULL").select(F.col("tree_id").alias("up"), F.col("subtree").alias("tree_id")).distinct().checkpoint()
     seen = front = roots.select("tree_id").where("tree_id IS NOT NULL").distinct().checkpoint()
-    while not front.isEmpty():
+    while True:
         below = edges.join(front.withColumnRenamed("tree_id", "up"), "up", "left_semi").select("tree_id").distinct()
         front = below.join(seen, "tree_id", "left_anti").checkpoint()
-        seen = seen.union(front).checkpoint()
-    return seen
+        if front.isEmpty():
+            return seen
+        seen = seen.union(front)
 
 
 def used_blobs(roots: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -140,7 +145,15 @@ def find_trees(snapshots: DataFrame, walked: DataFrame, ids: DataFrame) -> DataF
 
 
 def blobs_of_packs(index: DataFrame, packs: DataFrame) -> DataFrame:
-    """(blob_type, blob_id) in packs(pack_id)."""
+    """(blob_type, blob_id) in packs(pack_id); ids may be short (8 digits). A pack that the index doesn't name is an error."""
+    wanted = packs.select(F.col("pack_id").alias("given")).distinct()
+    named = index.select("pack_id").distinct()
+    found = wanted.join(named, F.col("given") == F.col("pack_id"))
+    found = found.union(wanted.where(F.length("given") == 8).join(named, F.col("given") == F.substring("pack_id", 1, 8)))
+    lost = wanted.join(found, "given", "left_anti").orderBy("given").limit(5).collect()
+    if lost:
+        raise RepositoryError("packs are not in the index: " + ", ".join(r.given for r in lost))
+    packs = found.select("pack_id").distinct()
     return index.join(packs.select("pack_id"), "pack_id", "left_semi").select("blob_type", "blob_id").distinct()
 
 

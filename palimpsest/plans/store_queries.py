@@ -23,6 +23,10 @@ def _roots(v: Virtual) -> DataFrame:
     return v.root_snapshots().select(F.col("tree").alias("tree_id")).where("tree_id IN ('r0', 'r2')")
 
 
+def _every_root(v: Virtual) -> DataFrame:
+    return v.root_snapshots().select(F.col("tree").alias("tree_id"))
+
+
 #: What regions 0 and 2 use.
 _USED = {
     "used_trees": "SELECT 'r' || r_regionkey AS tree_id FROM region WHERE r_regionkey IN (0, 2) UNION ALL SELECT n.subtree FROM used_trees u JOIN nodes n ON n.tree_id = u.tree_id WHERE n.subtree IS NOT NULL",
@@ -30,15 +34,18 @@ _USED = {
     "first_copies": "SELECT * EXCLUDE nr FROM (SELECT *, row_number() OVER (PARTITION BY blob_type, blob_id ORDER BY pack_id, index_id) AS nr FROM index_blobs) WHERE nr = 1",
 }
 
+#: What all snapshots use.
+_EVERY = _USED | {"used_trees": "SELECT tree AS tree_id FROM root_snapshots UNION SELECT n.subtree FROM used_trees u JOIN nodes n ON n.tree_id = u.tree_id WHERE n.subtree IS NOT NULL"}
+
 
 @query("SELECT snapshot_id, path, CAST(depth AS INTEGER) AS depth, type, size FROM walk")
 def t1_walk(v: Virtual) -> DataFrame:
     return tree.walk(v.root_snapshots(), v.stored_nodes()).select("snapshot_id", "path", "depth", "type", "size")
 
 
-@query("SELECT tree_id FROM used_trees", **_USED)
+@query("SELECT tree_id FROM used_trees", **_EVERY)
 def t2_reachable_trees(v: Virtual) -> DataFrame:
-    return tree.reachable_trees(_roots(v), v.stored_nodes())
+    return tree.reachable_trees(_every_root(v), v.stored_nodes())
 
 
 @query("SELECT 'n' || n_nationkey AS tree_id, count(*) AS entries FROM nation JOIN region ON n_regionkey = r_regionkey JOIN customer ON c_nationkey = n_nationkey WHERE n_nationkey = (SELECT min(n_nationkey) FROM nation) GROUP BY n_nationkey")
@@ -48,9 +55,10 @@ def t3_resolve_folder(v: Virtual) -> DataFrame:
     return v.nodes().where(F.col("tree_id") == at).groupBy("tree_id").agg(F.count("*").alias("entries"))
 
 
-@query("SELECT tree_id, name, type FROM nodes WHERE (tree_id, name) IN (SELECT 'c' || o_custkey, 'o' || o_orderkey || '.f' FROM orders WHERE o_orderkey % 5 = 0)")
+@query("SELECT tree_id, name, type FROM nodes WHERE (tree_id, name) IN (SELECT 'c' || o_custkey, 'o' || o_orderkey || '.f' FROM orders)")
 def t4_find_in_trees(v: Virtual) -> DataFrame:
-    o = v.table("orders").where("o_orderkey % 5 = 0")
+    """All orders by the name they have if they are finished; others aren't found."""
+    o = v.table("orders")
     wanted = o.select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("tree_id"), F.concat(F.lit("o"), F.col("o_orderkey").cast("string"), F.lit(".f")).alias("name"))
     return tree.find_in_trees(wanted, v.nodes()).select("tree_id", "name", "type")
 
@@ -62,9 +70,9 @@ def t5_dual_trees(v: Virtual) -> DataFrame:
     return out.select("name", F.col("left_node").isNotNull().alias("in_left"), F.col("right_node").isNotNull().alias("in_right"))
 
 
-@query("SELECT blob_type, blob_id FROM used", **_USED)
+@query("SELECT blob_type, blob_id FROM used", **_EVERY)
 def t6_used_blobs(v: Virtual) -> DataFrame:
-    return tree.used_blobs(_roots(v), v.stored_nodes())
+    return tree.used_blobs(_every_root(v), v.stored_nodes())
 
 
 @query("SELECT DISTINCT blob_id AS tree_id FROM index_blobs WHERE blob_type = 'tree' AND blob_id NOT IN (SELECT subtree FROM nodes WHERE subtree IS NOT NULL AND NOT (tree_id LIKE 'n%' AND CAST(substr(subtree, 2) AS BIGINT) % 17 = 3)) AND blob_id NOT IN (SELECT 'r' || r_regionkey FROM region WHERE r_regionkey = 0)")
@@ -147,9 +155,9 @@ def t16_read_range(v: Virtual) -> DataFrame:
     return tree.read_range(files, sizes, 20, 45).select("file_id", "pos", "start", "stop")
 
 
-@query("SELECT DISTINCT pack_id FROM index_blobs JOIN used USING (blob_type, blob_id)", **_USED)
+@query("SELECT DISTINCT pack_id FROM index_blobs JOIN used USING (blob_type, blob_id)", **_EVERY)
 def g8_c10_packs_of_snapshots(v: Virtual) -> DataFrame:
-    return check.packs_of_snapshots(_roots(v), v.stored_nodes(), v.index_blobs())
+    return check.packs_of_snapshots(_every_root(v), v.stored_nodes(), v.index_blobs())
 
 
 @query("SELECT path, size, regexp_extract(path, '(\\.[^./]*)$', 1) AS extension FROM walk WHERE snapshot_id = 'all'")
@@ -158,14 +166,42 @@ def g7_z9_extensions(v: Virtual) -> DataFrame:
 
 
 _A, _B = dict(until="1999-01-01", lines_until="1998-06-01"), dict(until="2000-01-01", lines_until="1999-06-01")
-_SIDES = {
-    f"{x}{k}": text
-    for x, (until, lines) in {"a": ("1999-01-01", "1998-06-01"), "b": ("2000-01-01", "1999-06-01")}.items()
-    for k, text in {
-        "lines": f"SELECT l_orderkey, CAST(sum(l_quantity) AS BIGINT) AS size, list('b' || l_partkey ORDER BY l_linenumber, l_partkey) AS content FROM lineitem WHERE l_shipdate < TIMESTAMP '{lines}' GROUP BY l_orderkey",
-        "files": f"SELECT o_custkey, o_orderkey, 'o' || o_orderkey || '.' || lower(o_orderstatus) AS name, CASE WHEN o_orderkey % 50 = 0 THEN 'symlink' ELSE 'file' END AS type, coalesce(size, 0) AS size, CASE WHEN o_orderkey % 50 <> 0 THEN coalesce(content, []) END AS content FROM orders LEFT JOIN {x}lines ON o_orderkey = l_orderkey WHERE o_orderdate < TIMESTAMP '{until}'",
-    }.items()
-}
+#: Two early versions, of which neither uses all blobs.
+_C, _D = dict(until="1995-02-01", lines_until="1995-02-10"), dict(until="1995-03-01", lines_until="1995-02-20")
+
+
+def _sides(a: dict, b: dict) -> dict[str, str]:
+    """Files of both versions, and the trees whose content differs: customers, and what lies above them but the root."""
+    views = {
+        f"{x}{k}": text
+        for x, cut in {"a": a, "b": b}.items()
+        for k, text in {
+            "lines": f"SELECT l_orderkey, CAST(sum(l_quantity) AS BIGINT) AS size, list('b' || l_partkey ORDER BY l_linenumber, l_partkey) AS content FROM lineitem WHERE l_shipdate < TIMESTAMP '{cut['lines_until']}' GROUP BY l_orderkey",
+            "files": f"SELECT o_custkey, o_orderkey, 'o' || o_orderkey || '.' || lower(o_orderstatus) AS name, CASE WHEN o_orderkey % 50 = 0 THEN 'symlink' ELSE 'file' END AS type, coalesce(size, 0) AS size, CASE WHEN o_orderkey % 50 <> 0 THEN coalesce(content, []) END AS content FROM orders LEFT JOIN {x}lines ON o_orderkey = l_orderkey WHERE o_orderdate < TIMESTAMP '{cut['until']}'",
+        }.items()
+    }
+    views["differing"] = "SELECT DISTINCT coalesce(a.o_custkey, b.o_custkey) AS c FROM afiles a FULL JOIN bfiles b ON a.o_orderkey = b.o_orderkey WHERE a.name IS NULL OR b.name IS NULL OR a.size <> b.size OR a.content IS DISTINCT FROM b.content"
+    views["changed"] = "SELECT DISTINCT unnest(['c' || c_custkey, 'n' || n_nationkey, 'r' || n_regionkey]) AS tree_id FROM differing JOIN customer ON c = c_custkey JOIN nation ON c_nationkey = n_nationkey"
+    return views
+
+
+_SIDES = _sides(_A, _B)
+
+
+def _versions(v: Virtual, a: dict, b: dict) -> tuple[DataFrame, DataFrame]:
+    """Nodes of two versions; trees whose content differs have ids of their own in the second one, equal ones are shared."""
+    old, new = v.stored_nodes(**a), v.stored_nodes(**b)
+    digest = lambda df: df.where("type <> 'dir'").groupBy("tree_id").agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.to_json(F.struct("name", "type", "size", "content")))), "\n"), 256).alias("digest"))
+    both = digest(old).alias("o").join(digest(new).alias("n"), "tree_id", "full_outer")
+    changed = level = both.where(~F.col("o.digest").eqNullSafe(F.col("n.digest"))).select("tree_id").checkpoint()
+    for _ in range(2):  # nations, regions
+        level = new.join(level.withColumnRenamed("tree_id", "subtree"), "subtree", "left_semi").select("tree_id").distinct()
+        changed = changed.union(level)
+    changed = changed.checkpoint()
+    flag = lambda c: changed.select(F.col("tree_id").alias(c), F.lit("b").alias(f"own_{c}"))
+    own = lambda c: F.concat(F.col(c), F.coalesce(f"own_{c}", F.lit(""))).alias(c)
+    tagged = new.join(flag("tree_id"), "tree_id", "left").join(flag("subtree"), "subtree", "left")
+    return old, tagged.select(*(own(c) if c in ("tree_id", "subtree") else c for c in new.columns)).checkpoint()
 
 
 @query(
@@ -176,13 +212,7 @@ _SIDES = {
     **_SIDES,
 )
 def d1_diff_paths(v: Virtual) -> DataFrame:
-    return diff.diff_trees("root", "root", _versioned(v, _A, "a"), _versioned(v, _B, "b")).select("path", "change")
-
-
-def _versioned(v: Virtual, cut: dict, tag: str) -> DataFrame:
-    """Nodes of a version with subtree ids of its own, so that no folder counts as equal."""
-    own = lambda c: F.when((F.col(c) == "root") | F.col(c).isNull(), F.col(c)).otherwise(F.concat(F.col(c), F.lit(tag)))
-    return v.stored_nodes(**cut).withColumns({"tree_id": own("tree_id"), "subtree": own("subtree")})
+    return diff.diff_trees("root", "root", *_versions(v, _A, _B)).select("path", "change")
 
 
 @query(
@@ -192,7 +222,7 @@ def _versioned(v: Virtual, cut: dict, tag: str) -> DataFrame:
     **_SIDES,
 )
 def d3_diff_counts(v: Virtual) -> DataFrame:
-    return diff.diff_counts(diff.diff_trees("root", "root", _versioned(v, _A, "a"), _versioned(v, _B, "b")))
+    return diff.diff_counts(diff.diff_trees("root", "root", *_versions(v, _A, _B)))
 
 
 _PLAIN = "CASE WHEN uncompressed_length > 0 THEN uncompressed_length ELSE length - 32 END"
@@ -200,13 +230,14 @@ _PLAIN = "CASE WHEN uncompressed_length > 0 THEN uncompressed_length ELSE length
 
 @query(
     f"""WITH a AS (SELECT DISTINCT unnest(content) AS blob_id FROM afiles WHERE type = 'file'), b AS (SELECT DISTINCT unnest(content) AS blob_id FROM bfiles WHERE type = 'file'),
-    o AS (SELECT 'removed' AS side, blob_id FROM a WHERE blob_id NOT IN (SELECT blob_id FROM b) UNION ALL SELECT 'added', blob_id FROM b WHERE blob_id NOT IN (SELECT blob_id FROM a)),
-    s AS (SELECT blob_id, arg_min({_PLAIN}, pack_id) AS size FROM index_blobs WHERE blob_type = 'data' GROUP BY blob_id)
-    SELECT side, 'data' AS blob_type, count(*) AS blobs, CAST(coalesce(sum(size), 0) AS BIGINT) AS bytes, count(*) FILTER (size IS NULL) AS unknown FROM o LEFT JOIN s USING (blob_id) GROUP BY side""",
-    **_SIDES,
+    o AS (SELECT 'removed' AS side, 'data' AS blob_type, blob_id FROM a WHERE blob_id NOT IN (SELECT blob_id FROM b) UNION ALL SELECT 'added', 'data', blob_id FROM b WHERE blob_id NOT IN (SELECT blob_id FROM a)
+        UNION ALL SELECT 'removed', 'tree', tree_id FROM changed UNION ALL SELECT 'added', 'tree', tree_id || 'b' FROM changed),
+    s AS (SELECT blob_type, blob_id, arg_min({_PLAIN}, pack_id) AS size FROM index_blobs GROUP BY ALL)
+    SELECT side, blob_type, count(*) AS blobs, CAST(coalesce(sum(size), 0) AS BIGINT) AS bytes, count(*) FILTER (size IS NULL) AS unknown FROM o LEFT JOIN s USING (blob_type, blob_id) GROUP BY ALL""",
+    **_sides(_C, _D),
 )
 def d7_diff_blobs(v: Virtual) -> DataFrame:
-    return diff.diff_blobs("root", "root", v.stored_nodes(**_A), v.stored_nodes(**_B), v.index_blobs()).where("blob_type = 'data'")
+    return diff.diff_blobs("root", "root", *_versions(v, _C, _D), v.index_blobs())
 
 
 @query("""SELECT snapshot_id, CAST(sum(n) AS BIGINT) AS total_file_count, CAST(sum(size) AS BIGINT) AS total_size FROM (
@@ -235,10 +266,10 @@ def a3_blobs_per_file(v: Virtual) -> DataFrame:
     f"""SELECT n AS total_blob_count, total AS total_size, plain AS total_uncompressed_size, cp / cs AS compression_ratio, cp / plain * 100 AS compression_progress, (1 - total / plain) * 100 AS compression_space_saving FROM (
         SELECT count(*) AS n, CAST(sum(length) AS BIGINT) AS total, CAST(sum({_PLAIN} + 32) AS BIGINT) AS plain, CAST(sum(length) FILTER (uncompressed_length > 0) AS BIGINT) AS cs, CAST(sum({_PLAIN} + 32) FILTER (uncompressed_length > 0) AS BIGINT) AS cp
         FROM first_copies JOIN used USING (blob_type, blob_id))""",
-    **_USED,
+    **_EVERY,
 )
 def a4_a5_raw_data(v: Virtual) -> DataFrame:
-    return stats.raw_data(tree.used_blobs(_roots(v), v.stored_nodes()), v.index_blobs())
+    return stats.raw_data(tree.used_blobs(_every_root(v), v.stored_nodes()), v.index_blobs())
 
 
 @query("""SELECT CASE WHEN size = 0 THEN 0 WHEN size < 10 THEN 1 WHEN size < 100 THEN 10 WHEN size <= 150 THEN 100 END::BIGINT AS low, CASE WHEN size = 0 THEN 0 WHEN size < 10 THEN 9 WHEN size < 100 THEN 99 WHEN size <= 150 THEN 150 END::BIGINT AS high,
@@ -279,13 +310,13 @@ def s6_tree_json(v: Virtual) -> DataFrame:
     return readers.tree_nodes(docs).select("tree_id", "name", "type", "size", F.coalesce(F.array_join("content", ","), F.lit("none")).alias("content"), "subtree")
 
 
-@query("SELECT pack_id, blob_type, blob_id, length, uncompressed_length FROM index_blobs")
+@query('SELECT pack_id, blob_type, blob_id, CAST(sum(length) OVER (PARTITION BY pack_id ORDER BY blob_type, blob_id) - length AS BIGINT) AS "offset", length, uncompressed_length FROM index_blobs')
 def s7_index_json(v: Virtual) -> DataFrame:
-    i = v.index_blobs()
-    blobs = i.groupBy("index_id", "pack_id").agg(F.collect_list(F.struct(F.col("blob_id").alias("id"), F.col("blob_type").alias("type"), F.lit(0).alias("offset"), "length", "uncompressed_length")).alias("blobs"))
+    i = ingest.pack_layout(v.index_blobs().withColumn("pos", F.struct("blob_type", "blob_id")))
+    blobs = i.groupBy("index_id", "pack_id").agg(F.collect_list(F.struct(F.col("blob_id").alias("id"), F.col("blob_type").alias("type"), "offset", "length", "uncompressed_length")).alias("blobs"))
     docs = blobs.groupBy(F.col("index_id").alias("id")).agg(F.to_json(F.struct(F.collect_list(F.struct(F.col("pack_id").alias("id"), "blobs")).alias("packs"))).alias("j"))
     raw = docs.union(docs).select("id", F.from_json("j", readers.INDEX_JSON).alias("d")).select("id", "d.packs")
-    return readers.master_index(readers.index_rows(raw)).drop("offset")
+    return readers.master_index(readers.index_rows(raw))
 
 
 @query("SELECT pack_id, blob_id, CAST(sum(length) OVER (PARTITION BY pack_id ORDER BY blob_type, blob_id) - length AS BIGINT) AS \"offset\" FROM index_blobs")
@@ -320,20 +351,27 @@ def c4_pack_findings(v: Virtual) -> DataFrame:
     return check.pack_findings(v.index_blobs(), v.packs())
 
 
-@query("""SELECT tree_id, name, 'blob not in index' AS finding FROM (SELECT tree_id, name, unnest(content) AS blob_id FROM nodes WHERE type = 'file') WHERE CAST(substr(blob_id, 2) AS BIGINT) % 97 = 0
-    UNION ALL SELECT tree_id, name, 'invalid type' FROM nodes WHERE type = 'symlink' AND name LIKE '%p'
-    UNION ALL SELECT tree_id, name, 'no content' FROM nodes WHERE type = 'file' AND size > 250
-    UNION ALL SELECT subtree, NULL, 'tree not in index' FROM nodes WHERE subtree LIKE 'c%' AND CAST(substr(subtree, 2) AS BIGINT) % 101 = 0""")
+@query("""WITH f AS (SELECT * FROM nodes WHERE type <> 'dir' AND tree_id IN (SELECT subtree FROM nodes WHERE type = 'dir' AND name NOT LIKE 'Customer%7' AND name NOT LIKE 'Customer%8'))
+    SELECT tree_id, name, 'blob not in index' AS finding FROM (SELECT tree_id, name, unnest(content) AS blob_id FROM f WHERE type = 'file' AND size <= 250) WHERE CAST(substr(blob_id, 2) AS BIGINT) % 97 = 0
+    UNION ALL SELECT tree_id, name, 'invalid type' FROM f WHERE type = 'symlink' AND name LIKE '%p'
+    UNION ALL SELECT tree_id, name, 'no content' FROM f WHERE type = 'file' AND size > 250
+    UNION ALL SELECT tree_id, name, 'no subtree' FROM nodes WHERE type = 'dir' AND name LIKE 'Customer%7'
+    UNION ALL SELECT tree_id, name, 'null subtree' FROM nodes WHERE type = 'dir' AND name LIKE 'Customer%8'
+    UNION ALL SELECT subtree, NULL, 'tree not in index' FROM nodes WHERE subtree LIKE 'c%' AND CAST(substr(subtree, 2) AS BIGINT) % 101 = 0 AND name NOT LIKE 'Customer%7' AND name NOT LIKE 'Customer%8'
+    UNION ALL SELECT repeat('0', 64), NULL, 'tree not in index'""")
 def c5_tree_findings(v: Virtual) -> DataFrame:
+    """Without the contents of big files, and with faults in some types, subtrees, and rows of the index.
+
+    What lies below a folder without a subtree isn't reached.
+    """
     n = lambda c: F.substring(c, 2, 20).try_cast("long")
     i = v.index_blobs().where(~F.coalesce((n("blob_id") % F.when(F.col("blob_type") == "data", 97).when(F.col("blob_id").startswith("c"), 101)) == 0, F.lit(False)))
-    big = (F.col("type") == "file") & (F.col("size") > 250)
-    kept = v.nodes()
-    lost = kept.withColumn("content", F.when(big & (F.size(F.filter("content", lambda x: F.substring(x, 2, 20).cast("long") % 97 == 0)) == 0), F.lit(None)).otherwise(F.col("content")))
-    bad = lost.withColumn("type", F.when((F.col("type") == "symlink") & F.col("name").endswith("p"), "odd").otherwise(F.col("type")))
-    found = check.tree_findings(v.spark.createDataFrame([("root",)], "tree_id string"), bad, i)
-    extra = kept.where(big & (F.size(F.filter("content", lambda x: F.substring(x, 2, 20).cast("long") % 97 == 0)) > 0)).select("tree_id", "name", F.lit("no content").alias("finding"))
-    return found.union(extra)
+    bad = v.nodes().withColumns({
+        "content": F.when((F.col("type") == "file") & (F.col("size") > 250), F.lit(None)).otherwise(F.col("content")),
+        "type": F.when((F.col("type") == "symlink") & F.col("name").endswith("p"), "odd").otherwise(F.col("type")),
+        "subtree": F.when(F.col("name").like("Customer%7"), F.lit(None)).when(F.col("name").like("Customer%8"), F.lit(check.NULL_ID)).otherwise(F.col("subtree")),
+    })
+    return check.tree_findings(v.spark.createDataFrame([("root",)], "tree_id string"), bad, i)
 
 
 @query("SELECT DISTINCT blob_type, blob_id FROM index_blobs WHERE (blob_type, blob_id) NOT IN (SELECT (blob_type, blob_id) FROM used)", **_USED)
@@ -355,14 +393,26 @@ def c8_pack_bucket(v: Virtual) -> DataFrame:
     return ids.where(check.pack_bucket(F.col("id"), 3, 7))
 
 
-_CLASSIFIED = _USED | {
+_STATES = {
     "marked": "SELECT i.pack_id, blob_type, blob_id, length, uncompressed_length, (blob_type, blob_id) IN (SELECT (blob_type, blob_id) FROM used) AS needed, count(*) OVER (PARTITION BY blob_type, blob_id) AS copies FROM index_blobs i",
-    "alone": "SELECT pack_id, count(*) AS alone FROM marked WHERE needed AND copies = 1 GROUP BY pack_id",
-    "classified": "SELECT *, CASE WHEN NOT needed THEN 'unused' WHEN row_number() OVER (PARTITION BY blob_type, blob_id ORDER BY coalesce(alone, 0) DESC, pack_id) = 1 THEN 'used' ELSE 'duplicate' END AS state FROM marked LEFT JOIN alone USING (pack_id)",
+    # blob by blob: the first copy in a pack that takes it, or the last one, whose pack takes copies from then on
+    "takers": "SELECT coalesce(list(pack_id), []) AS takers FROM (SELECT pack_id FROM marked GROUP BY pack_id HAVING count(*) FILTER (needed AND copies = 1) > 0 OR count(*) FILTER (NOT needed) = 0)",
+    "several": "MATERIALIZED SELECT blob_type, blob_id, list(pack_id ORDER BY pack_id) AS places, row_number() OVER (ORDER BY blob_type, blob_id) AS nr FROM marked WHERE needed AND copies > 1 GROUP BY blob_type, blob_id",
+    "choice": """SELECT CAST(0 AS BIGINT) AS nr, takers AS taking, CAST(NULL AS VARCHAR) AS pack_id, CAST(NULL AS VARCHAR) AS blob_type, CAST(NULL AS VARCHAR) AS blob_id FROM takers
+        UNION ALL SELECT nr, CASE WHEN hit IS NULL THEN list_append(taking, places[-1]) ELSE taking END, coalesce(hit, places[-1]), blob_type, blob_id
+        FROM (SELECT s.nr, s.places, s.blob_type, s.blob_id, taking, list_filter(s.places, lambda x: list_contains(taking, x))[1] AS hit FROM choice c JOIN several s ON s.nr = c.nr + 1)""",
+    "classified": "SELECT m.*, CASE WHEN NOT needed THEN 'unused' WHEN copies = 1 OR c.pack_id IS NOT NULL THEN 'used' ELSE 'duplicate' END AS state FROM marked m LEFT JOIN (SELECT blob_type, blob_id, pack_id FROM choice WHERE nr > 0) c ON m.blob_type = c.blob_type AND m.blob_id = c.blob_id AND m.pack_id = c.pack_id",
     "infos": """SELECT pack_id, CASE WHEN min(blob_type) = max(blob_type) THEN min(blob_type) ELSE 'mixed' END AS pack_type, count(*) FILTER (state = 'used') AS used_blobs, count(*) FILTER (state = 'duplicate') AS duplicate_blobs, count(*) FILTER (state = 'unused') AS unused_blobs,
         CAST(36 + coalesce(sum(n) FILTER (state = 'used'), 0) AS BIGINT) AS used_size, CAST(coalesce(sum(n) FILTER (state = 'duplicate'), 0) AS BIGINT) AS duplicate_size, CAST(coalesce(sum(n) FILTER (state = 'unused'), 0) AS BIGINT) AS unused_size, bool_or(uncompressed_length = 0) AS plain
         FROM (SELECT *, length + CASE WHEN uncompressed_length > 0 THEN 41 ELSE 37 END AS n FROM classified) GROUP BY pack_id""",
 }
+_CLASSIFIED = _USED | _STATES
+#: What one nation uses, so that packs have much that is unused.
+_NATION = _USED | _STATES | {"used_trees": "SELECT 'n1' AS tree_id UNION ALL SELECT n.subtree FROM used_trees u JOIN nodes n ON n.tree_id = u.tree_id WHERE n.subtree IS NOT NULL"}
+
+
+def _nation_used(v: Virtual) -> DataFrame:
+    return tree.used_blobs(v.spark.createDataFrame([("n1",)], "tree_id string"), v.stored_nodes())
 
 
 def _classified(v: Virtual) -> DataFrame:
@@ -374,6 +424,11 @@ def gc1_gc4_classify(v: Virtual) -> DataFrame:
     return _classified(v).select("pack_id", "blob_type", "blob_id", "state")
 
 
+@query("SELECT pack_id, blob_type, blob_id, state FROM classified", **_NATION)
+def gc4_choice_of_copies(v: Virtual) -> DataFrame:
+    return prune.classify(v.index_blobs(), _nation_used(v)).select("pack_id", "blob_type", "blob_id", "state")
+
+
 @query("SELECT * FROM infos", **_CLASSIFIED)
 def gc3_pack_infos(v: Virtual) -> DataFrame:
     return prune.pack_infos(_classified(v))
@@ -401,19 +456,80 @@ def gc12_blobs_to_repack(v: Virtual) -> DataFrame:
     return prune.blobs_to_copy(prune.classify(v.index_blobs(), used), planned)
 
 
+def _planned(options: str, most: str, least_unused: str, must: str = "pack_type <> 'data'", small: str = "false", keep: str = "false") -> dict[str, str]:
+    """Views of a plan: decisions, candidates in order, and the choice among them under a budget of ``most`` bytes."""
+    return {
+        "decided": f"""SELECT i.*, s.size, {small} AS small, CASE WHEN used_blobs = 0 THEN 'remove' WHEN {keep} THEN 'keep' WHEN unused_blobs = 0 AND duplicate_blobs = 0 AND pack_type <> 'mixed' AND NOT ({options}) THEN 'keep' ELSE 'candidate' END AS decision
+            FROM infos i JOIN pack_sizes s USING (pack_id)""",
+        "candidates": "MATERIALIZED SELECT *, row_number() OVER (ORDER BY pack_type = 'data', small DESC, (unused_size + duplicate_size) / used_size DESC, pack_id) AS nr FROM decided WHERE decision = 'candidate'",
+        "chosen": f"""SELECT CAST(0 AS BIGINT) AS nr, CAST(0 AS BIGINT) AS done, CAST((SELECT coalesce(sum(unused_size + duplicate_size), 0) FROM decided WHERE decision <> 'remove') AS BIGINT) AS waste, CAST(NULL AS VARCHAR) AS pack_id, false AS taken
+            UNION ALL SELECT nr, CASE WHEN take THEN done + size ELSE done END, CASE WHEN take THEN waste - unused_size - duplicate_size ELSE waste END, pack_id, take
+            FROM (SELECT c.*, h.done, h.waste, h.done + c.size < {most} AND ({must} OR small OR h.waste >= (SELECT CAST({least_unused} AS DOUBLE) FROM decided WHERE decision <> 'remove')) AS take FROM chosen h JOIN candidates c ON c.nr = h.nr + 1)""",
+        "plan": "SELECT d.pack_id, CASE WHEN c.taken THEN 'repack' WHEN decision = 'candidate' THEN 'keep' ELSE decision END AS action FROM decided d LEFT JOIN chosen c ON d.pack_id = c.pack_id",
+    }
+
+
+_STEPS = "SELECT CASE action WHEN 'repack' THEN 2 ELSE 4 END AS step, action, pack_id FROM plan WHERE action IN ('repack', 'remove')"
+_BUDGET = _planned("false", "300000", "coalesce(sum(used_size), 0) / 9")
+
+
+@query(_STEPS, **_NATION, **_BUDGET)
 def gc9_gc13_budgeted_plan(v: Virtual) -> DataFrame:
-    """Ordered steps under a repack budget; the greedy choice isn't expressible in SQL."""
-    planned = prune.plan(v.index_blobs(), tree.used_blobs(_roots(v), v.stored_nodes()), stats.pack_sizes(v.index_blobs()), prune.Options(max_unused="10%", max_repack=2_000_000))
-    return prune.steps(planned)
+    """Ordered steps under a repack budget and a tenth of waste."""
+    return prune.steps(prune.plan(v.index_blobs(), _nation_used(v), stats.pack_sizes(v.index_blobs()), prune.Options(max_unused="10%", max_repack=300_000)))
+
+
+@query(_STEPS, **_NATION, **_planned("plain", "1e18", "max(1e18)", must="pack_type <> 'data' OR plain"))
+def gc7_gc8_recompress(v: Virtual) -> DataFrame:
+    """Only packs with uncompressed blobs and tree packs are repacked, whatever they waste."""
+    return prune.steps(prune.plan(v.index_blobs(), _nation_used(v), stats.pack_sizes(v.index_blobs()), prune.Options(max_unused=None, repack_uncompressed=True)))
+
+
+_TEN_SMALL = "s.size < 20000 AND (SELECT count(*) FROM infos JOIN pack_sizes USING (pack_id) WHERE size < 20000 AND used_blobs > 0 AND unused_blobs = 0 AND duplicate_blobs = 0 AND pack_type <> 'mixed') >= 10"
 
 
-query()(gc9_gc13_budgeted_plan)
+@query(_STEPS, **_CLASSIFIED, **_planned(_TEN_SMALL, "1e18", "max(0)", small="size < 20000"))
+def gc2_gc7_small_packs(v: Virtual) -> DataFrame:
+    """Packs under 20,000 bytes are repacked too, if ten or more could stay otherwise."""
+    used = tree.used_blobs(_roots(v), v.stored_nodes())
+    return prune.steps(prune.plan(v.index_blobs(), used, stats.pack_sizes(v.index_blobs()), prune.Options(max_unused=0, repack_small=True, smallest=20_000)))
 
 
-@query("SELECT pack_id, blob_type, blob_id, length FROM index_blobs WHERE pack_id NOT IN ('p1', 'p2', 't3')")
+@query("SELECT action, count(*) AS packs FROM plan GROUP BY action", **_NATION, **_planned("false", "1e18", "max(0)", keep="pack_type = 'data'"))
+def gc7_cacheable_only(v: Virtual) -> DataFrame:
+    planned = prune.plan(v.index_blobs(), _nation_used(v), stats.pack_sizes(v.index_blobs()), prune.Options(max_unused=0, cacheable_only=True))
+    return prune.totals(planned).select("action", "packs")
+
+
+_PACKED = """n AS (SELECT CAST(greatest(1, ceil(sum(length) / 96000.0)) AS BIGINT) AS n FROM b), s AS (SELECT b.*, length >= 1500 AS own, CAST('0x' || substr(sha256(blob_id), 1, 8) AS BIGINT) % n AS shard FROM b, n),
+    c AS (SELECT *, CASE WHEN own THEN blob_id ELSE CAST((sum(length) OVER (PARTITION BY blob_type, own, shard ORDER BY blob_id) - length) // 1500 AS VARCHAR) END AS k FROM s)
+    SELECT blob_type, blob_id, length, CAST(sum(length) OVER (w ORDER BY blob_id) - length AS BIGINT) AS "offset", min(blob_id) OVER w AS first_blob, count(*) OVER w AS blobs FROM c WINDOW w AS (PARTITION BY blob_type, own, shard, k)"""
+
+
+def _packed(assembled: DataFrame) -> DataFrame:
+    """Packs by their first blob and number of blobs."""
+    from pyspark.sql import Window
+
+    pack = Window.partitionBy("pack_id")
+    return assembled.select("blob_type", "blob_id", "length", "offset", F.min("blob_id").over(pack).alias("first_blob"), F.count("*").over(pack).alias("blobs"))
+
+
+@query("""WITH lost AS (SELECT blob_type, blob_id FROM classified WHERE state <> 'unused' EXCEPT SELECT blob_type, blob_id FROM classified JOIN plan USING (pack_id) WHERE action = 'keep'),
+    b AS (SELECT blob_type, blob_id, arg_min(length, (CASE WHEN action = 'repack' THEN 0 ELSE 1 END, pack_id)) AS length FROM classified JOIN plan USING (pack_id) JOIN lost USING (blob_type, blob_id) GROUP BY ALL),
+    """ + _PACKED, **_NATION, **_BUDGET)
+def gc14_repack(v: Virtual) -> DataFrame:
+    used = _nation_used(v).checkpoint()
+    planned = prune.plan(v.index_blobs(), used, stats.pack_sizes(v.index_blobs()), prune.Options(max_unused="10%", max_repack=300_000))
+    return _packed(prune.repack(prune.classify(v.index_blobs(), used).checkpoint(), planned.checkpoint(), pack_size=1500))
+
+
+@query("""WITH redo AS (SELECT index_id FROM index_blobs GROUP BY index_id HAVING count(*) < 5000 OR count(*) FILTER (pack_id IN ('p1', 'p2', 't3')) > 0),
+    rest AS (SELECT DISTINCT * EXCLUDE index_id FROM index_blobs WHERE index_id IN (FROM redo) AND pack_id NOT IN ('p1', 'p2', 't3')), n AS (SELECT CAST(greatest(1, ceil(count(*) / 5000.0)) AS BIGINT) AS n FROM rest)
+    SELECT index_id, pack_id, blob_type, blob_id, length FROM index_blobs WHERE index_id NOT IN (FROM redo)
+    UNION ALL SELECT 'new-' || CAST('0x' || substr(sha256(pack_id), 1, 8) AS BIGINT) % n, pack_id, blob_type, blob_id, length FROM rest, n""")
 def gc16_rewrite_index(v: Virtual) -> DataFrame:
     gone = v.spark.createDataFrame([("p1",), ("p2",), ("t3",)], "pack_id string")
-    return prune.rewrite_index(v.index_blobs(), gone).select("pack_id", "blob_type", "blob_id", "length")
+    return prune.rewrite_index(v.index_blobs(), gone, full=5000).select("index_id", "pack_id", "blob_type", "blob_id", "length")
 
 
 @query("SELECT coalesce(w.pack_id, p.pack_id) AS pack_id, CASE WHEN p.size IS NULL THEN 'drop' WHEN w.size = p.size THEN 'keep' ELSE 'read' END AS action FROM pack_sizes w FULL JOIN packs p USING (pack_id)")
@@ -458,31 +574,53 @@ def m2_rewrite_snapshots(v: Virtual) -> DataFrame:
     return rewrite.rewrite_snapshots(v.root_snapshots(), w, kept).select("id", "action", "files", "bytes")
 
 
-@query("SELECT snapshot_id, CASE WHEN depth = 1 THEN '/' ELSE regexp_replace(path, '/[^/]*$', '') END AS path, count(*) AS entries FROM walk GROUP BY 1, 2")
+def _hashes(level: str, below: str) -> str:
+    """Ids of the trees one level up, of folders whose own ids are in ``below``."""
+    line = """'{"name":"' || n.name || '","type":"dir"' || coalesce(',"subtree":"' || h.id || '"', '') || '}'"""
+    return f"SELECT tree_id, sha256(string_agg({line}, chr(10) ORDER BY {line})) AS id FROM nodes n LEFT JOIN {below} h USING (subtree) WHERE tree_id LIKE '{level}' AND type = 'dir' GROUP BY tree_id"
+
+
+_FILE_LINE = """'{"name":"' || name || '","type":"' || type || '"' || CASE WHEN type = 'file' THEN ',"size":' || size ELSE '' END || CASE WHEN content IS NULL THEN '' WHEN len(content) = 0 THEN ',"content":[]' ELSE ',"content":["' || array_to_string(content, '","') || '"]' END || '}'"""
+
+
+@query(
+    "SELECT w.snapshot_id, w.path, count(*) AS entries, any_value(t.id) AS tree_id FROM (SELECT snapshot_id, CASE WHEN depth = 1 THEN '/' ELSE regexp_replace(path, '/[^/]*$', '') END AS path, tree_id FROM walk) w JOIN hashes t USING (tree_id) GROUP BY w.snapshot_id, w.path",
+    hc=f"SELECT tree_id AS subtree, sha256(string_agg({_FILE_LINE}, chr(10) ORDER BY {_FILE_LINE})) AS id FROM nodes WHERE tree_id LIKE 'c%' GROUP BY tree_id",
+    hn=f"SELECT tree_id AS subtree, id FROM ({_hashes('n%', 'hc')})",
+    hr=f"SELECT tree_id AS subtree, id FROM ({_hashes('r_', 'hn')})",
+    hashes=f"SELECT subtree AS tree_id, id FROM hc UNION ALL SELECT subtree, id FROM hn UNION ALL SELECT subtree, id FROM hr UNION ALL {_hashes('root', 'hr')}",
+)
 def x7_assemble_trees(v: Virtual) -> DataFrame:
-    return rewrite.assemble_trees(tree.walk(v.root_snapshots(), v.stored_nodes())).select("snapshot_id", "path", "entries")
+    return rewrite.assemble_trees(tree.walk(v.root_snapshots(), v.stored_nodes())).select("snapshot_id", "path", "entries", "tree_id")
+
+
+def _backups(v: Virtual) -> DataFrame:
+    """Both versions by name, which is unique in them; a folder is changed if its subtree is."""
+    old, new = (df.withColumnRenamed("name", "path") for df in _versions(v, _A, _B))
+    return ingest.compare_backup(old, new, ["type", "size", "mtime", "inode", "content", "subtree"], ignore_ctime=True)
+
+
+_FOLDERS = "SELECT name, CASE WHEN subtree IN (FROM changed) THEN 'changed' ELSE 'unmodified' END AS state FROM nodes WHERE type = 'dir'"
 
 
 @query(
-    """SELECT b.name AS path, CASE WHEN a.name IS NULL THEN 'new' WHEN a.content IS NOT DISTINCT FROM b.content AND a.size = b.size THEN 'unmodified' ELSE 'changed' END AS state, b.type = 'file' AND (a.name IS NULL OR a.type <> 'file' OR a.size <> b.size) AS read
-    FROM bfiles b LEFT JOIN afiles a ON a.o_orderkey = b.o_orderkey""",
+    f"""SELECT b.name AS path, CASE WHEN a.name IS NULL THEN 'new' WHEN a.content IS NOT DISTINCT FROM b.content AND a.size = b.size THEN 'unmodified' ELSE 'changed' END AS state, b.type = 'file' AND (a.name IS NULL OR a.type <> 'file' OR a.size <> b.size) AS read
+    FROM bfiles b LEFT JOIN afiles a ON a.o_orderkey = b.o_orderkey UNION ALL SELECT name, state, false FROM ({_FOLDERS})""",
     **_SIDES,
 )
 def x2_x4_changes(v: Virtual) -> DataFrame:
-    one = lambda cut: v.nodes(**cut).where("type <> 'dir'").withColumnRenamed("name", "path")
-    out = ingest.compare_backup(one(_A), one(_B), ["type", "size", "mtime", "inode", "content"], ignore_ctime=True)
-    return out.select("path", "state", "read")
+    return _backups(v).select("path", "state", "read")
 
 
 @query(
-    """SELECT count(*) FILTER (type = 'file' AND a IS NULL) AS files_new, count(*) FILTER (type = 'file' AND a AND NOT same) AS files_changed, count(*) FILTER (type = 'file' AND a AND same) AS files_unmodified, CAST(0 AS BIGINT) AS dirs_new, CAST(0 AS BIGINT) AS dirs_changed, CAST(0 AS BIGINT) AS dirs_unmodified,
+    f"""WITH f AS ({_FOLDERS}), d AS (SELECT CAST(0 AS BIGINT) AS dirs_new, count(*) FILTER (state = 'changed') AS dirs_changed, count(*) FILTER (state = 'unmodified') AS dirs_unmodified FROM f)
+    SELECT count(*) FILTER (type = 'file' AND a IS NULL) AS files_new, count(*) FILTER (type = 'file' AND a AND NOT same) AS files_changed, count(*) FILTER (type = 'file' AND a AND same) AS files_unmodified, any_value(dirs_new) AS dirs_new, any_value(dirs_changed) AS dirs_changed, any_value(dirs_unmodified) AS dirs_unmodified,
         CAST(coalesce(sum(size) FILTER (type = 'file' AND (a IS NULL OR differs)), 0) AS BIGINT) AS bytes_read
-    FROM (SELECT b.type, b.size, CASE WHEN a.name IS NOT NULL THEN true END AS a, a.content IS NOT DISTINCT FROM b.content AND a.size = b.size AS same, a.type <> 'file' OR a.size <> b.size AS differs FROM bfiles b LEFT JOIN afiles a ON a.o_orderkey = b.o_orderkey)""",
+    FROM d, (SELECT b.type, b.size, CASE WHEN a.name IS NOT NULL THEN true END AS a, a.content IS NOT DISTINCT FROM b.content AND a.size = b.size AS same, a.type <> 'file' OR a.size <> b.size AS differs FROM bfiles b LEFT JOIN afiles a ON a.o_orderkey = b.o_orderkey)""",
     **_SIDES,
 )
 def a7_backup_summary(v: Virtual) -> DataFrame:
-    one = lambda cut: v.nodes(**cut).where("type <> 'dir'").withColumnRenamed("name", "path")
-    return ingest.backup_summary(ingest.compare_backup(one(_A), one(_B), ["type", "size", "mtime", "inode", "content"], ignore_ctime=True))
+    return ingest.backup_summary(_backups(v))
 
 
 @query("SELECT name AS path, len(list_filter(content, lambda x: CAST(substr(x, 2) AS BIGINT) % 97 = 0)) = 0 AS complete FROM nodes WHERE type = 'file'")
@@ -498,19 +636,29 @@ def k1_x6_new_blobs(v: Virtual) -> DataFrame:
     return ingest.new_blobs(blobs.drop("doc_id"), blobs.where("doc_id % 4 = 0")).select("blob_id")
 
 
-@query("SELECT CAST(sum(octet_length(encode(text))) AS BIGINT) AS bytes, count(*) AS files FROM documents WHERE text <> ''")
+@query("SELECT CAST(doc_id AS VARCHAR) AS path, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS bytes, sha256(coalesce(text, '')) AS sha, true AS in_limits FROM documents")
 def x5_chunks(v: Virtual) -> DataFrame:
-    """Chunks of the documents, put together again: their bytes and files (cut points aren't expressible in SQL)."""
-    files = v.table("documents").where("text <> ''").select(F.col("doc_id").cast("string").alias("path"), F.encode("text", "UTF-8").alias("data"))
-    return ingest.chunk(files, least=512, average_bits=10, most=8192).agg(F.sum("length").alias("bytes"), F.count_distinct("path").alias("files"))
-
-
-@query("SELECT blob_type, count(*) AS blobs, CAST(sum(length) AS BIGINT) AS bytes FROM (SELECT DISTINCT blob_type, blob_id, length FROM index_blobs) GROUP BY blob_type")
+    """Each document put together again from its chunks, as their ids name them (cut points aren't expressible in SQL).
+
+    in_limits: no chunk is longer than the most, and all but the last are as long as the least.
+    """
+    files = v.table("documents").select(F.col("doc_id").cast("string").alias("path"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("data"))
+    cut = ingest.chunk(files, least=512, average_bits=10, most=8192).checkpoint()
+    store = cut.join(files, "path").select("blob_id", F.expr("substring(data, CAST(start + 1 AS INT), CAST(length AS INT))").alias("data")).where(F.sha2("data", 256) == F.col("blob_id"))
+    whole = cut.groupBy("path").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("pos", "blob_id"))), lambda x: x.blob_id).alias("content"),
+        F.sum("length").alias("bytes"), F.max("length").alias("most"), F.max(F.struct("pos", "length")).alias("last"), F.count_if(F.col("length") < 512).alias("short"),
+    )
+    rows = files.select("path").join(whole, "path", "left").withColumn("content", F.coalesce("content", F.array().cast("array<string>")))
+    in_limits = F.coalesce((F.col("most") <= 8192) & (F.col("short") <= (F.col("last.length") < 512).cast("int")), F.lit(True))
+    made = ingest.dump_file(rows, store).select("path", F.sha2("data", 256).alias("sha"))
+    return rows.join(made, "path").select("path", F.coalesce("bytes", F.lit(0)).alias("bytes"), "sha", in_limits.alias("in_limits"))
+
+
+@query("WITH b AS (SELECT DISTINCT blob_type, blob_id, length FROM index_blobs), " + _PACKED)
 def k2_assemble_packs(v: Virtual) -> DataFrame:
     blobs = v.index_blobs().select("blob_type", "blob_id", "length", "uncompressed_length").distinct()
-    packs = ingest.assemble_packs(blobs, pack_size=100_000)
-    per = packs.groupBy("blob_type", "pack_id").agg(F.count("*").alias("n"), F.max(F.col("offset") + F.col("length")).alias("end"))
-    return per.groupBy("blob_type").agg(F.sum("n").alias("blobs"), F.sum("end").alias("bytes"))
+    return _packed(ingest.assemble_packs(blobs, pack_size=1500))
 
 
 @query(
@@ -551,9 +699,9 @@ def k11_ncdu(v: Virtual) -> DataFrame:
     return writers.ncdu_rows(_all(v)).drop("snapshot_id")
 
 
-@query("SELECT CAST(doc_id AS VARCHAR) AS path, sha256(coalesce(text, '') || coalesce(text, '')) AS sha FROM documents WHERE doc_id % 7 = 1")
+@query("SELECT CAST(doc_id AS VARCHAR) AS path, sha256(coalesce(text, '') || coalesce(text, '')) AS sha FROM documents")
 def k8_dump_file(v: Virtual) -> DataFrame:
-    d = v.table("documents").where("doc_id % 7 = 1").select(F.col("doc_id").cast("string").alias("path"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("data"))
+    d = v.table("documents").select(F.col("doc_id").cast("string").alias("path"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("data"))
     blob = F.sha2("data", 256)
     files = d.select("path", F.array(blob, blob).alias("content"))
     return ingest.dump_file(files, d.select(blob.alias("blob_id"), "data")).select("path", F.sha2("data", 256).alias("sha"))

@@ -171,6 +171,7 @@ def with_views(sql: str, **more: str) -> str:
     put(sql)
     if not order:
         return sql
-    own = ", ".join(f"{n} AS ({views[n]})" for n in order)
+    once = "MATERIALIZED "
+    own = ", ".join(f"{n} AS {once}({views[n].removeprefix(once)})" if views[n].startswith(once) else f"{n} AS ({views[n]})" for n in order)
     body = sql.strip()
     return f"WITH RECURSIVE {own}, {body[5:]}" if body.startswith("WITH ") else f"WITH RECURSIVE {own} {body}"
