@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions.glob import matches_list
 from palimpsest.functions.scalar import digest_number, entry_length, parent_path
-from palimpsest.model import HEADER, PACK_DEFAULT
+from palimpsest.model import HEADER, PACK_DEFAULT, SNAPSHOTS, conform
 from palimpsest.operators.diff import same_node
 
 _KEY = ["blob_type", "blob_id"]
@@ -148,15 +148,16 @@ def new_blobs(blobs: DataFrame, index: DataFrame, store_duplicates: bool = False
     return blobs if store_duplicates else blobs.dropDuplicates(_KEY).join(index.select(*_KEY), _KEY, "left_anti")
 
 
-def assemble_packs(blobs: DataFrame, pack_size: int = PACK_DEFAULT, shard_packs: int = 64) -> DataFrame:
+def assemble_packs(blobs: DataFrame, pack_size: int = PACK_DEFAULT, shards: int | None = None, shard_packs: int = 64) -> DataFrame:
     """Blobs put into packs: pack_id, offset.
 
-    Blobs are dealt to shards by id (about ``shard_packs`` packs each, so their number grows with the bytes) and put one after
+    Blobs are dealt to shards by id (unless their number is given, about ``shard_packs`` packs each, so it grows with the bytes) and put one after
     another in id order; a pack ends with the blob that reaches its size. A blob of ``pack_size`` or more gets a pack of its own.
     Pack ids are hashes of what the packs hold.
     """
-    total = blobs.agg(F.sum("length")).first()[0] or 0
-    shards = max(1, -(-int(total) // (pack_size * shard_packs)))
+    if shards is None:
+        total = blobs.agg(F.sum("length")).first()[0] or 0
+        shards = max(1, -(-int(total) // (pack_size * shard_packs)))
     sized = blobs.withColumns({"_own": F.col("length") >= pack_size, "_shard": digest_number(F.col("blob_id")) % shards})
     deal = ["blob_type", "_own", "_shard"]
     before = F.sum("length").over(Window.partitionBy(*deal).orderBy("blob_id").rowsBetween(Window.unboundedPreceding, 0)) - F.col("length")
@@ -226,3 +227,32 @@ def dump_file(files: DataFrame, blob_data: DataFrame) -> DataFrame:
 def pack_bytes(blobs: DataFrame) -> DataFrame:
     """(pack_id, size) of assembled packs."""
     return blobs.groupBy("pack_id").agg((HEADER + F.sum(F.col("length") + entry_length(F.coalesce("uncompressed_length", F.lit(0))))).cast("long").alias("size"))
+
+
+def load_blobs(wanted: DataFrame, index: DataFrame, stored: DataFrame) -> DataFrame:
+    """wanted(blob_type, blob_id) with data from the first pack (by id) whose copy has the blob's hash, and that pack.
+
+    All copies that the index names are tried; stored(pack_id, blob_type, blob_id, data) is what is there. Both are null
+    if no copy is good.
+    """
+    copies = index.select("pack_id", *_KEY).distinct().join(wanted.select(*_KEY).distinct(), _KEY, "left_semi")
+    good = stored.where(F.sha2("data", 256) == F.col("blob_id")).join(copies, ["pack_id", *_KEY], "left_semi")
+    first = good.groupBy(*_KEY).agg(F.min("pack_id").alias("pack_id"))
+    data = good.join(first, ["pack_id", *_KEY], "left_semi").dropDuplicates(["pack_id", *_KEY])
+    return wanted.join(data.select(*_KEY, "pack_id", "data"), _KEY, "left")
+
+
+def create_snapshots(requests: DataFrame, snapshots: DataFrame, skip_unchanged: bool = False, program: str | None = None) -> DataFrame:
+    """Snapshots of finished backups: requests(request_id, time, tree, and any columns of a snapshot; parent from ``parents``).
+
+    The id is the hash of the rest as JSON. With ``skip_unchanged`` a backup whose tree is its parent's gives none.
+    """
+    if "parent" not in requests.columns:
+        found = parents(requests, snapshots, [c for c in ("hostname", "paths") if c in requests.columns])
+        requests = requests.join(found, requests["request_id"].cast("string") == found["request_id"], "left").drop(found["request_id"])
+    if skip_unchanged:
+        before = snapshots.select(F.col("id").alias("parent"), F.col("tree").alias("_before"))
+        requests = requests.join(before, "parent", "left").where("NOT (_before <=> tree) OR parent IS NULL").drop("_before")
+    rows = conform(requests.withColumn("program_version", F.lit(program).cast("string")), SNAPSHOTS)
+    body = F.to_json(F.struct(*[c for c in rows.columns if c != "id"]))
+    return rows.withColumn("id", F.sha2(body, 256))

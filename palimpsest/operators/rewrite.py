@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.functions.scalar import parent_path, short_id
+from palimpsest.functions.text import required_time
 from palimpsest.model import RepositoryError, with_checkpoints
 from palimpsest.operators.stats import pack_sizes
 from palimpsest.operators.tree import unreferenced_roots, used_blobs
@@ -79,12 +80,21 @@ def rewrite_entries(walked: DataFrame, exclude: Column | None = None, include: C
     return kept
 
 
-def rewrite_snapshots(snapshots: DataFrame, before: DataFrame, after: DataFrame, forget: bool = False) -> DataFrame:
-    """Per snapshot: action (unchanged, rewrite, remove), files and bytes left, and ``original`` where the old one stays."""
+def rewrite_snapshots(snapshots: DataFrame, before: DataFrame, after: DataFrame, forget: bool = False, hostname: str | None = None, time: str | None = None) -> DataFrame:
+    """Per snapshot: action (unchanged, rewrite, remove), files and bytes left, and ``original`` where the old one stays.
+
+    With a new ``hostname`` or ``time`` (both given as well then, new or old) a snapshot is rewritten though its entries are unchanged.
+    """
     n = lambda df, a: df.groupBy(F.col("snapshot_id").alias("id")).agg(F.count("*").alias(a), F.count_if(F.col("type") == "file").alias(f"{a}_files"), F.coalesce(F.sum(F.when(F.col("type") == "file", F.col("size"))), F.lit(0)).cast("long").alias(f"{a}_bytes"))
     both = snapshots.select("id").join(n(before, "old"), "id", "left").join(n(after, "new"), "id", "left").fillna(0)
-    action = F.when(F.col("old") == F.col("new"), "unchanged").when(F.col("new") == 0, "remove").otherwise("rewrite")
-    return both.select("id", action.alias("action"), F.col("new_files").alias("files"), F.col("new_bytes").alias("bytes"), F.when((action == "rewrite") & F.lit(not forget), F.col("id")).alias("original"))
+    other = hostname is not None or time is not None
+    action = F.when((F.col("old") == F.col("new")) & F.lit(not other), "unchanged").when((F.col("new") == 0) & (F.col("old") > 0), "remove").otherwise("rewrite")
+    out = both.select("id", action.alias("action"), F.col("new_files").alias("files"), F.col("new_bytes").alias("bytes"), F.when((action == "rewrite") & F.lit(not forget), F.col("id")).alias("original"))
+    if not other:
+        return out
+    own = {c: F.col(c) if c in snapshots.columns else F.lit(None) for c in ("hostname", "time")}
+    new = [F.lit(hostname).alias("hostname") if hostname is not None else own["hostname"].alias("hostname"), required_time(time).alias("time") if time is not None else own["time"].cast("timestamp").alias("time")]
+    return out.join(snapshots.select("id", *new), "id")
 
 
 def repair_nodes(nodes: DataFrame, index: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from palimpsest.functions.glob import matches_list, validate
 from palimpsest.functions.scalar import short_id
 from palimpsest.model import RepositoryError
 
@@ -164,3 +165,14 @@ def object_json(objects: DataFrame, id_: str, id_col: str = "id") -> str:
 def listing(snapshots: DataFrame) -> DataFrame:
     """Snapshots as they are printed, oldest first."""
     return snapshots.select(short_id(F.col("id")).alias("short_id"), "time", "hostname", F.array_join("tags", ",").alias("tags"), F.array_join("paths", ",").alias("paths")).orderBy("time", "short_id")
+
+
+def select_attributes(nodes: DataFrame, include: list[str] = (), exclude: list[str] = ()) -> DataFrame:
+    """Nodes with the extended attributes whose names match an included pattern, or no excluded one; all if neither is given."""
+    if include and exclude:
+        raise RepositoryError("exclude and include patterns of attributes are mutually exclusive")
+    validate(list(include or exclude))
+    if not include and not exclude:
+        return nodes
+    keep = lambda x: matches_list(x["name"], list(include)) if include else ~matches_list(x["name"], list(exclude))
+    return nodes.withColumn("extended_attributes", F.filter("extended_attributes", keep))

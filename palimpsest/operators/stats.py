@@ -103,3 +103,9 @@ def pack_types(index: DataFrame) -> DataFrame:
 def surviving_size(walked: DataFrame, keep: Column) -> DataFrame:
     """Files and bytes that a rewrite keeps."""
     return walked.where((F.col("type") == "file") & keep).agg(F.count("*").alias("files"), F.coalesce(F.sum("size"), F.lit(0)).cast("long").alias("bytes"))
+
+
+def blobs_by_pack(index: DataFrame) -> DataFrame:
+    """Per pack: blobs, bytes, and the list of its blobs (type, id, length) in order."""
+    row = F.struct("blob_type", "blob_id", "length")
+    return index.groupBy("pack_id").agg(F.count("*").alias("blobs"), F.sum("length").cast("long").alias("bytes"), F.array_sort(F.collect_list(row)).alias("listed"))

@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions.glob import child_may_match_list, matches_list
-from palimpsest.functions.scalar import join_path, parent_path, within_directory
+from palimpsest.functions.scalar import join_path, parent_path, permissions, within_directory
+from palimpsest.functions.text import required_time
 from palimpsest.model import RepositoryError, with_checkpoints
 
 
@@ -61,6 +62,12 @@ def used_blobs(roots: DataFrame, nodes: DataFrame) -> DataFrame:
     return trees.select(F.lit("tree").alias("blob_type"), F.col("tree_id").alias("blob_id")).union(files.select(F.lit("data").alias("blob_type"), "blob_id"))
 
 
+def used_by_snapshots(snapshots: DataFrame, nodes: DataFrame, ignore: DataFrame | None = None) -> DataFrame:
+    """``used_blobs`` of all snapshots(id, tree) but those of ignore(id)."""
+    kept = snapshots if ignore is None else snapshots.join(ignore.select("id"), "id", "left_anti")
+    return used_blobs(kept.select(F.col("tree").alias("tree_id")), nodes)
+
+
 def unreferenced_roots(index: DataFrame, nodes: DataFrame, snapshots: DataFrame) -> DataFrame:
     """(tree_id) of indexed trees that are neither a subtree of any tree nor a snapshot's root."""
     trees = index.where("blob_type = 'tree'").select(F.col("blob_id").alias("tree_id")).distinct()
@@ -120,12 +127,27 @@ def find_paths(snapshots: DataFrame, nodes: DataFrame, patterns: list[str], fold
     path = F.col("path")
     found = walk(snapshots, nodes, child_may_match_list(path, patterns, fold)).where(matches_list(path, patterns, fold))
     if oldest:
-        found = found.where(F.col("mtime") >= F.lit(oldest).cast("timestamp"))
+        found = found.where(F.col("mtime") >= required_time(oldest))
     if newest:
-        found = found.where(F.col("mtime") <= F.lit(newest).cast("timestamp"))
+        found = found.where(F.col("mtime") <= required_time(newest))
     return found
 
 
+def found_rows(found: DataFrame) -> DataFrame:
+    """What a search shows of nodes: path, permissions and the node without its name, attributes, device, content and subtree."""
+    hidden = {"snapshot_id", "path", "depth", "tree_id", "name", "extended_attributes", "generic_attributes", "device", "content", "subtree"}
+    mode = F.col("mode") if "mode" in found.columns else F.lit(None).cast("long")
+    return found.select("snapshot_id", "path", permissions(mode, F.col("type")).alias("permissions"), *[c for c in found.columns if c not in hidden])
+
+
+def listed_rows(entries: DataFrame) -> DataFrame:
+    """What a listing shows of nodes: fixed columns (null where the store lacks one), the size of files only."""
+    shown = ["name", "type", "path", "uid", "gid", "size", "mode", "permissions", "mtime", "atime", "ctime", "inode"]
+    mode = F.col("mode") if "mode" in entries.columns else F.lit(None).cast("long")
+    made = {"size": F.when(F.col("type") == "file", F.col("size")), "permissions": permissions(mode, F.col("type"))}
+    return entries.select("snapshot_id", *[made.get(c, F.col(c) if c in entries.columns else F.lit(None)).alias(c) for c in shown])
+
+
 def find_blobs(walked: DataFrame, ids: DataFrame) -> DataFrame:
     """A row for each time a blob of ids(blob_id) is in a file's content; ids may be short (8 digits)."""
     each = walked.where("type = 'file'").select("snapshot_id", "path", F.posexplode("content").alias("content_pos", "blob_id"))

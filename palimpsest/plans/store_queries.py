@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.functions import glob, scalar
-from palimpsest.operators import check, diff, ingest, prune, rewrite, stats, tree
+from palimpsest.functions import glob, scalar, text
+from palimpsest.operators import check, diff, ingest, prune, rewrite, select, stats, tree
 from palimpsest.plans.registry import query
 from palimpsest.sources import readers, writers
 from palimpsest.sources.virtual import Virtual
@@ -298,9 +298,10 @@ def m8_a12_blobs_to_copy(v: Virtual) -> DataFrame:
     return rewrite.blobs_to_copy(_roots(v), v.stored_nodes(), v.index_blobs(), v.index_blobs().where("index_id IN ('i1', 'i2')"))
 
 
-@query("SELECT pack_id, count(*) AS blobs, CAST(sum(length) AS BIGINT) AS bytes FROM index_blobs GROUP BY pack_id")
+@query("SELECT pack_id, count(*) AS blobs, CAST(sum(length) AS BIGINT) AS bytes, string_agg(blob_type || ':' || blob_id || ':' || length, ',' ORDER BY blob_type, blob_id, length) AS listed FROM index_blobs GROUP BY pack_id")
 def s9_blobs_by_pack(v: Virtual) -> DataFrame:
-    return v.index_blobs().groupBy("pack_id").agg(F.count("*").alias("blobs"), F.sum("length").alias("bytes"))
+    text = F.array_join(F.transform("listed", lambda x: F.concat_ws(":", x.blob_type, x.blob_id, x.length.cast("string"))), ",")
+    return stats.blobs_by_pack(v.index_blobs()).withColumn("listed", text)
 
 
 @query("SELECT tree_id, name, type, size, coalesce(array_to_string(content, ','), 'none') AS content, subtree FROM nodes")
@@ -725,3 +726,88 @@ def x12_unexpected(v: Virtual) -> DataFrame:
 @query("SELECT count(*) AS files, CAST(coalesce(sum(size), 0) AS BIGINT) AS bytes FROM walk WHERE snapshot_id = 'all' AND type = 'file' AND size > 40")
 def a11_surviving_size(v: Virtual) -> DataFrame:
     return stats.surviving_size(_all(v), F.col("size") > 40)
+
+
+#: Mode bits for nodes that have none: from the size.
+_MODE = F.col("size") % 512
+_SHOWN = "CASE type WHEN 'dir' THEN 'd' WHEN 'symlink' THEN 'L' ELSE '-' END || " + " || ".join(f"CASE WHEN (size >> {8 - i}) & 1 = 1 THEN '{'rwx'[i % 3]}' ELSE '-' END" for i in range(9))
+
+
+@query(f"SELECT snapshot_id, path, {_SHOWN} AS permissions, type, size, mtime, inode, device_id, links, size % 512 AS mode FROM walk WHERE regexp_matches({_NAME}, '^o[0-9]*[02468]\\.[fp]$')")
+def f25_found_rows(v: Virtual) -> DataFrame:
+    nodes = v.stored_nodes().withColumn("mode", _MODE)
+    return tree.found_rows(tree.find_paths(v.root_snapshots(), nodes, ["o*[02468].[fp]"]))
+
+
+@query(f"SELECT snapshot_id, name, type, path, CASE WHEN type = 'file' THEN size END AS size, size % 512 AS mode, {_SHOWN} AS permissions, mtime, inode FROM walk")
+def f24_listed_rows(v: Virtual) -> DataFrame:
+    return tree.listed_rows(tree.walk(v.root_snapshots(), v.stored_nodes().withColumn("mode", _MODE))).drop("uid", "gid", "atime", "ctime")
+
+
+@query("SELECT tree_id, name, array_to_string(list_filter(['user.a', 'user.b' || inode % 3, 'security.x', 'system.posix_acl'], lambda x: x LIKE 'user.%' AND x NOT LIKE '%2'), ',') AS attributes FROM nodes")
+def f26_select_attributes(v: Virtual) -> DataFrame:
+    names = F.array(F.lit("user.a"), F.concat(F.lit("user.b"), (F.col("inode") % 3).cast("string")), F.lit("security.x"), F.lit("system.posix_acl"))
+    nodes = v.nodes().withColumn("extended_attributes", F.transform(names, lambda x: F.struct(x.alias("name"), F.encode(x, "UTF-8").alias("value"))))
+    kept = select.select_attributes(select.select_attributes(nodes, include=["user.*"]), exclude=["*2"])
+    return kept.select("tree_id", "name", F.array_join(F.transform("extended_attributes", lambda x: x["name"]), ",").alias("attributes"))
+
+
+_TAG_TEXT = "' ' || event_type || ' ,x' || user_id % 3 || ',,\t' || event_type || 'z '"
+
+
+@query(f"SELECT event_id, array_to_string(t, '|') AS tags, array_to_string(list_filter(t || ['y', ''], lambda x: x <> ''), '|') AS flat FROM (SELECT event_id, list_transform(string_split({_TAG_TEXT}, ','), lambda x: trim(x, ' ' || chr(9))) AS t FROM events)")
+def p6_tag_lists(v: Virtual) -> DataFrame:
+    own = text.split_tags(F.concat(F.lit(" "), "event_type", F.lit(" ,x"), (F.col("user_id") % 3).cast("string"), F.lit(",,\t"), "event_type", F.lit("z ")))
+    rows = v.table("events").select("event_id", own.alias("t"))
+    return rows.select("event_id", F.array_join("t", "|").alias("tags"), F.array_join(text.flatten_tags(F.array("t", F.array(F.lit("y"), F.lit("")))), "|").alias("flat"))
+
+
+@query("""SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN date_trunc('day', o_orderdate) WHEN 1 THEN date_trunc('minute', t) WHEN 2 THEN t WHEN 3 THEN t - INTERVAL 90 MINUTE WHEN 4 THEN t END AS time
+    FROM (SELECT *, o_orderdate + to_minutes(o_orderkey % 1440) + to_seconds(o_orderkey % 60) AS t FROM orders)""")
+def z11_parse_times(v: Virtual) -> DataFrame:
+    """Texts of six shapes, the last one unknown."""
+    t = F.col("o_orderdate") + F.make_dt_interval(F.lit(0), F.lit(0), (F.col("o_orderkey") % 1440).cast("int"), (F.col("o_orderkey") % 60).cast("decimal(18,6)"))
+    shown = lambda p, more="": F.concat(F.date_format("t", p), F.lit(more))
+    long = F.concat(F.date_format("t", "EEE MMM d HH:mm:ss"), F.lit(" +0000 GMT "), F.date_format("t", "yyyy"))
+    shapes = [shown("yyyy-MM-dd"), shown("dd.MM.yyyy HH:mm"), shown("yyyy-MM-dd HH:mm:ss"), shown("dd.MM.yyyy HH:mm:ss", " +0130"), long, shown("yyyy/MM/dd")]
+    rows = v.table("orders").withColumn("t", t)
+    return rows.select("o_orderkey", text.parse_time(F.get(F.array(*shapes), (F.col("o_orderkey") % 6).cast("int"))).alias("time"))
+
+
+@query("""WITH p AS (SELECT o.o_orderkey, arg_max(s.id, (s.time, s.id)) AS parent, arg_max(s.tree, (s.time, s.id)) AS before FROM orders o JOIN order_snapshots s ON s.hostname = 'c' || o.o_custkey AND s.time <= o.o_orderdate + INTERVAL 1 DAY GROUP BY o.o_orderkey)
+    SELECT 'c' || o_custkey AS hostname, o_orderdate + INTERVAL 1 DAY AS time, parent, CASE WHEN o_orderkey % 2 = 0 THEN 'x' ELSE 'c' || o_custkey END AS tree, 64 AS id_length FROM orders JOIN p USING (o_orderkey) WHERE o_orderkey % 2 = 0 OR before IS DISTINCT FROM 'c' || o_custkey""")
+def x8_x13_create_snapshots(v: Virtual) -> DataFrame:
+    """A backup a day after each order, every other one of the tree its parent has."""
+    host = F.concat(F.lit("c"), F.col("o_custkey").cast("string"))
+    requests = v.table("orders").select(F.col("o_orderkey").alias("request_id"), (F.col("o_orderdate") + F.expr("INTERVAL 1 DAY")).alias("time"), host.alias("hostname"), F.when(F.col("o_orderkey") % 2 == 0, "x").otherwise(host).alias("tree"))
+    made = ingest.create_snapshots(requests, v.order_snapshots(), skip_unchanged=True, program="palimpsest")
+    return made.select("hostname", "time", "parent", "tree", F.length("id").alias("id_length"))
+
+
+@query("SELECT sha256(coalesce(text, '')) AS blob_id, CASE WHEN min(doc_id % 15) FILTER (doc_id % 15 <> 0) IS NULL THEN NULL WHEN min(CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END) = 0 THEN 'a' ELSE 'b' END AS pack_id FROM documents GROUP BY 1")
+def s11_load_blobs(v: Virtual) -> DataFrame:
+    """Documents stored in two packs, some copies of which are damaged in the first or in both."""
+    data = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
+    docs = v.table("documents").select("doc_id", F.lit("data").alias("blob_type"), F.sha2(data, 256).alias("blob_id"), data.alias("data"))
+    broken = F.concat("data", F.encode(F.lit("!"), "UTF-8"))
+    pack = lambda name, n: docs.select(F.lit(name).alias("pack_id"), "blob_type", "blob_id", F.when(F.col("doc_id") % n == 0, broken).otherwise(F.col("data")).alias("data"))
+    stored = pack("a", 3).union(pack("b", 15))
+    wanted = docs.select("blob_type", "blob_id").distinct()
+    return ingest.load_blobs(wanted, stored.select("pack_id", "blob_type", "blob_id"), stored).select("blob_id", "pack_id")
+
+
+@query("SELECT id, 'rewrite' AS action, count(*) FILTER (type = 'file') AS files, 'elsewhere' AS hostname, TIMESTAMP '2024-05-06 07:08:00' AS time FROM root_snapshots JOIN walk ON id = snapshot_id GROUP BY id")
+def m2_rewrite_metadata(v: Virtual) -> DataFrame:
+    w = tree.walk(v.root_snapshots(), v.stored_nodes())
+    return rewrite.rewrite_snapshots(v.root_snapshots(), w, w, hostname="elsewhere", time="2024-05-06 07:08").select("id", "action", "files", "hostname", "time")
+
+
+@query("SELECT DISTINCT blob_type, blob_id FROM used", **(_USED | {"used_trees": "SELECT tree AS tree_id FROM root_snapshots WHERE id NOT IN ('all', 'region0', 'region3') UNION SELECT n.subtree FROM used_trees u JOIN nodes n ON n.tree_id = u.tree_id WHERE n.subtree IS NOT NULL"}))
+def gc15_used_without_ignored(v: Virtual) -> DataFrame:
+    ignore = v.spark.createDataFrame([("all",), ("region0",), ("region3",)], "id string")
+    return tree.used_by_snapshots(v.root_snapshots(), v.stored_nodes(), ignore)
+
+
+@query("SELECT depth, path, size FROM (SELECT depth, path, size, row_number() OVER (ORDER BY size DESC, string_split(path, '/')) AS nr FROM walk WHERE snapshot_id = 'all') WHERE nr <= 20")
+def g7_sorted_top(v: Virtual) -> DataFrame:
+    return select.sort_entries(_all(v), "size", reverse=True).limit(20).select("depth", "path", "size")
