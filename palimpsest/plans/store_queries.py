@@ -728,20 +728,22 @@ def a11_surviving_size(v: Virtual) -> DataFrame:
     return stats.surviving_size(_all(v), F.col("size") > 40)
 
 
-#: Mode bits for nodes that have none: from the size.
-_MODE = F.col("size") % 512
+def _with_mode(nodes: DataFrame) -> DataFrame:
+    """Mode bits for nodes that have none: from the size."""
+    return nodes.withColumn("mode", F.col("size") % 512)
+
+
 _SHOWN = "CASE type WHEN 'dir' THEN 'd' WHEN 'symlink' THEN 'L' ELSE '-' END || " + " || ".join(f"CASE WHEN (size >> {8 - i}) & 1 = 1 THEN '{'rwx'[i % 3]}' ELSE '-' END" for i in range(9))
 
 
 @query(f"SELECT snapshot_id, path, {_SHOWN} AS permissions, type, size, mtime, inode, device_id, links, size % 512 AS mode FROM walk WHERE regexp_matches({_NAME}, '^o[0-9]*[02468]\\.[fp]$')")
 def f25_found_rows(v: Virtual) -> DataFrame:
-    nodes = v.stored_nodes().withColumn("mode", _MODE)
-    return tree.found_rows(tree.find_paths(v.root_snapshots(), nodes, ["o*[02468].[fp]"]))
+    return tree.found_rows(tree.find_paths(v.root_snapshots(), _with_mode(v.stored_nodes()), ["o*[02468].[fp]"]))
 
 
 @query(f"SELECT snapshot_id, name, type, path, CASE WHEN type = 'file' THEN size END AS size, size % 512 AS mode, {_SHOWN} AS permissions, mtime, inode FROM walk")
 def f24_listed_rows(v: Virtual) -> DataFrame:
-    return tree.listed_rows(tree.walk(v.root_snapshots(), v.stored_nodes().withColumn("mode", _MODE))).drop("uid", "gid", "atime", "ctime")
+    return tree.listed_rows(tree.walk(v.root_snapshots(), _with_mode(v.stored_nodes()))).drop("uid", "gid", "atime", "ctime")
 
 
 @query("SELECT tree_id, name, array_to_string(list_filter(['user.a', 'user.b' || inode % 3, 'security.x', 'system.posix_acl'], lambda x: x LIKE 'user.%' AND x NOT LIKE '%2'), ',') AS attributes FROM nodes")
