@@ -148,3 +148,12 @@ def test_repacked_blobs_are_written_once(spark):
     store = spark.createDataFrame([("data", hashlib.sha256(d).hexdigest(), d) for d in data.values()] + [("data", "f" * 64, b"damaged")], "blob_type string, blob_id string, data binary")
     made = ingest.assemble_packs(store.select("blob_type", "blob_id", F.lit(10).cast("long").alias("length"), F.lit(0).alias("uncompressed_length")))
     assert sorted(bytes(r.data) for r in prune.pack_data(made, store).collect()) == [b"b0", b"b1"]
+
+
+def test_queries_are_listed_without_a_session():
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = "import __spark_entry__ as e; assert len(e.queries()) >= len(e.oracle_sql()) > 100"
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=Path(__file__).resolve().parent.parent)
