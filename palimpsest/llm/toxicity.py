@@ -35,6 +35,8 @@ KEPT = 1 << 20
 #: Characters of the n-grams, of a word that is taken whole, and of the pieces of longer ones.
 LEAST, MOST = 3, 5
 LONGEST, PIECE = 64, 8
+#: Characters of the texts that a scorer splits at a time (one text at least, whole).
+SPLIT = 1 << 20
 
 
 def _marked(word: str) -> tuple[str, int]:
@@ -117,7 +119,16 @@ class Scorer(dict):
         return self.n - 1
 
     def highest(self, texts: list[str | None]) -> np.ndarray:
-        """Logit of the highest window of each whole text (no words: the bias)."""
+        """Logit of the highest window of each whole text (no words: the bias); some ``SPLIT`` characters at a time."""
+        upto = np.cumsum([len(t or "") for t in texts])
+        out, begin = [np.empty(0)], 0
+        while begin < len(texts):
+            end = max(begin + 1, int(np.searchsorted(upto, (upto[begin - 1] if begin else 0) + SPLIT, "right")))
+            out.append(self._highest(texts[begin:end]))
+            begin = end
+        return np.concatenate(out)
+
+    def _highest(self, texts: list[str | None]) -> np.ndarray:
         if self.n > KEPT:
             self.clear()
             self.n = 0

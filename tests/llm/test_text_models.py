@@ -360,3 +360,14 @@ def test_quality_gradients_lower_the_loss():
     loss = lambda m: -np.mean([np.log(max(1e-12, (1 if y == 0 else p[y - 1]) - (0 if y == 2 else p[y]))) for (_, y), p in zip(rows, m.tails(quality.Scorer(m).latent([t for t, _ in rows])), strict=True)])
     first, later = quality.fit(rows, 3, epochs=1), quality.fit(rows, 3, epochs=30)
     assert loss(later) < 0.5 * loss(first) and (np.diff(later.thresholds) > 0).all()
+
+
+def test_toxicity_scores_do_not_depend_on_the_split(monkeypatch):
+    rng = np.random.default_rng(5)
+    scorer = toxicity.Model(rng.normal(size=997), 0.1, 8, 1.3, -0.4).scorer()
+    texts = [None, "", " ".join("abcdefgh"[: 1 + i % 8] for i in range(500)), "x" * 300, "one two", None, "three " * 40]
+    whole = scorer.scores(texts)
+    for size in (1, 7, 300, 100_000):
+        monkeypatch.setattr(toxicity, "SPLIT", size)
+        assert np.allclose(toxicity.Scorer(scorer.model).scores(texts), whole)
+    assert len(scorer.scores([])) == 0
