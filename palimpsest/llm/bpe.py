@@ -19,8 +19,8 @@ import numpy as np
 
 #: Characters for which white space, case and composition are the same in Python as in the library.
 ODD = re.compile("[^\t\n\r -~¡-¬®-İĲ-ž‐-‧‰-⁞₠-₿]")
-#: Most units kept by a worker, and the longest one that is kept.
-KEPT, LONGEST = 1 << 20, 48
+#: Most units and most pre-tokens in each half of a worker's caches, and the longest ones that are kept.
+KEPT, PARTS_KEPT, LONGEST = 1 << 19, 1 << 17, 48
 #: The normalizers and the splitting pattern under which units may be encoded one by one.
 NORMALIZERS = ["NFC", "Replace", "Lowercase"]
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -56,45 +56,58 @@ def _known(rules: dict) -> bool:
     return [n.get("type") for n in (rules["normalizer"] or {}).get("normalizers", ())] == NORMALIZERS and parts == own
 
 
-class Parts(dict):
+class Kept(dict):
+    """A cache in two halves: a full one becomes the older half, of which what is used again is taken over."""
+
+    def __init__(self, most: int) -> None:
+        super().__init__()
+        self.most, self.older = most, {}
+
+    def made(self, key: str) -> bytes:
+        raise KeyError(key)
+
+    def __missing__(self, key: str) -> bytes:
+        ids = self.older.get(key)
+        if ids is None:
+            ids = self.made(key)
+        if len(key) <= LONGEST:
+            if len(self) >= self.most:
+                self.older = dict(self)
+                self.clear()
+            self[key] = ids
+        return ids
+
+
+class Parts(Kept):
     """lower-cased pre-token -> its ids as little-endian unsigned 32-bit bytes."""
 
     def __init__(self, model) -> None:
-        super().__init__()
+        super().__init__(PARTS_KEPT)
         self.model = model
 
-    def __missing__(self, part: str) -> bytes:
+    def made(self, part: str) -> bytes:
         named = part if part.isascii() else part.encode("utf-8").decode("latin-1").translate(BYTES)
         got = [t.id for t in self.model.tokenize(named)]
-        ids = struct.pack(f"<{len(got)}I", *got)
-        if len(part) <= LONGEST:
-            if len(self) >= KEPT:
-                self.clear()
-            self[part] = ids
-        return ids
+        return struct.pack(f"<{len(got)}I", *got)
+
 
 _open: dict[str, Units] = {}
 
 
-class Units(dict):
+class Units(Kept):
     """unit -> its ids as little-endian unsigned 32-bit bytes; misses are encoded by the library's model."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
-        super().__init__()
+        super().__init__(KEPT)
         self.library = Tokenizer.from_file(path)
         self.special = [str(t.content) for t in self.library.get_added_tokens_decoder().values()]
         self.known = _known(json.loads(self.library.to_str()))
         self.parts = Parts(self.library.model)
 
-    def __missing__(self, unit: str) -> bytes:
-        ids = b"".join(map(self.parts.__getitem__, PARTS.findall(unit.lower())))
-        if len(unit) <= LONGEST:
-            if len(self) >= KEPT:
-                self.clear()
-            self[unit] = ids
-        return ids
+    def made(self, unit: str) -> bytes:
+        return b"".join(map(self.parts.__getitem__, PARTS.findall(unit.lower())))
 
     def whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()

@@ -132,3 +132,15 @@ def test_examples_keep_all_three_limits(spark):
     assert {r.id for r in got if r.oversize} == {3000, 3001}
     total = np.sum(list(size.values()), axis=0) / [2048, 12, 1000]
     assert len(bins) <= 1.25 * total.max() + 10
+
+
+def test_small_caches_give_the_same_ids():
+    from palimpsest.llm import bpe
+    from palimpsest.llm.queries import tokenizer_path
+
+    small = bpe.Units(tokenizer_path())
+    small.most, small.parts.most = 5, 3
+    for i in range(200):
+        text = " ".join(f"word{(i * j) % 37} Ab-{j % 11}x's" for j in range(12))
+        assert small.ids(text) == small.whole(text)
+        assert len(small) <= 5 and len(small.older) <= 5 and len(small.parts) <= 3
