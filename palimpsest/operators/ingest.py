@@ -169,9 +169,9 @@ def assemble_packs(blobs: DataFrame, pack_size: int = PACK_DEFAULT, shards: int
     return cut.withColumns({"offset": offset, "pack_id": pack_id}).drop("_own", "_shard", "_pack")
 
 
-def pack_layout(index: DataFrame) -> DataFrame:
-    """Offsets of a pack's blobs from the order of its header (pos): the running sum of lengths."""
-    order = Window.partitionBy("pack_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+def pack_layout(index: DataFrame, by: tuple[str, ...] = ("pos",)) -> DataFrame:
+    """Offsets of a pack's blobs from the order of its header (columns ``by``): the running sum of lengths."""
+    order = Window.partitionBy("pack_id").orderBy(*by).rowsBetween(Window.unboundedPreceding, 0)
     return index.withColumn("offset", F.sum("length").over(order) - F.col("length"))
 
 

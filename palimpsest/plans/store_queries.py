@@ -313,10 +313,9 @@ def s6_tree_json(v: Virtual) -> DataFrame:
 
 @query('SELECT pack_id, blob_type, blob_id, CAST(sum(length) OVER (PARTITION BY pack_id ORDER BY blob_type, blob_id) - length AS BIGINT) AS "offset", length, uncompressed_length FROM index_blobs')
 def s7_index_json(v: Virtual) -> DataFrame:
-    i = ingest.pack_layout(v.index_blobs().withColumn("pos", F.struct("blob_type", "blob_id")))
-    blobs = i.groupBy("index_id", "pack_id").agg(F.collect_list(F.struct(F.col("blob_id").alias("id"), F.col("blob_type").alias("type"), "offset", "length", "uncompressed_length")).alias("blobs"))
-    docs = blobs.groupBy(F.col("index_id").alias("id")).agg(F.to_json(F.struct(F.collect_list(F.struct(F.col("pack_id").alias("id"), "blobs")).alias("packs"))).alias("j"))
-    raw = docs.union(docs).select("id", F.from_json("j", readers.INDEX_JSON).alias("d")).select("id", "d.packs")
+    i = ingest.pack_layout(v.index_blobs(), ("blob_type", "blob_id"))
+    twice = writers.index_files(i).select("id", F.explode(F.array("data", "data")).alias("j"))
+    raw = twice.select("id", F.from_json("j", readers.INDEX_JSON).alias("d")).select("id", "d.packs")
     return readers.master_index(readers.index_rows(raw))
 
 

@@ -6,7 +6,7 @@ import io
 import tarfile
 import zipfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.model import INDEX_BLOBS_FULL
@@ -34,6 +34,22 @@ def write_index(index: DataFrame, path: str) -> None:
     index.write.option("maxRecordsPerFile", INDEX_BLOBS_FULL).parquet(path)
 
 
+def index_files(index: DataFrame, most: int = 5_000) -> DataFrame:
+    """(id, data) of index files as JSON, with ``most`` blobs at most; the id is the hash.
+
+    An index is dealt to 64 tasks by pack. A pack's rows follow each other, in two files or more where one is full. Aggregates hold many
+    files at once, so ``most`` bounds a task's memory and should stay far below a store's own limit.
+    """
+    dealt = index.withColumn("_deal", F.pmod(F.xxhash64("pack_id"), F.lit(64)))
+    order = Window.partitionBy("index_id", "_deal").orderBy("pack_id", "offset")
+    file = ["index_id", "_deal", "_file"]
+    filed = dealt.withColumn("_file", F.floor((F.row_number().over(order) - 1) / most))
+    blob = F.struct(F.col("blob_id").alias("id"), F.col("blob_type").alias("type"), "offset", "length", "uncompressed_length")
+    packs = filed.groupBy(*file, "pack_id").agg(F.collect_list(blob).alias("blobs"))
+    docs = packs.groupBy(*file).agg(F.to_json(F.struct(F.collect_list(F.struct(F.col("pack_id").alias("id"), "blobs")).alias("packs"))).alias("data"))
+    return docs.select(F.sha2("data", 256).alias("id"), "data")
+
+
 def write_json(df: DataFrame, path: str) -> None:
     df.write.json(path)
 

@@ -269,6 +269,17 @@ def test_ingest(spark, nodes, roots, index):
     assert [spark.range(1).select(ingest.overwrite(p, lit(True), lit(False), lit(True))).first()[0] for p in ("always", "if-changed", "if-newer", "never")] == [True, True, False, False]
 
 
+def test_index_files_are_bounded_and_whole(spark):
+    rows = [(f"i{p % 2}", f"p{p}", "data", f"b{n}", 10 * n, 10, n % 3) for p in range(200) for n in range(41 if p == 7 else 4)]
+    index = spark.createDataFrame(rows, INDEX_BLOBS)
+    raw = writers.index_files(index, 10).select("id", F.from_json("data", readers.INDEX_JSON).alias("d")).select("id", "d.packs")
+    files = [[(p.id, len(p.blobs)) for p in r.packs] for r in raw.collect()]
+    assert max(sum(n for _, n in f) for f in files) == 10 and max(len(f) for f in files) > 1
+    assert sum(any(p == "p7" for p, _ in f) for f in files) >= 5
+    back = readers.index_rows(raw).drop("index_id")
+    assert sorted(back.collect()) == sorted(index.drop("index_id").collect())
+
+
 def test_readers_and_writers(spark, nodes, tmp_path):
     (tmp_path / "snapshots").mkdir()
     (tmp_path / "snapshots" / ("ab" * 32)).write_text('{"time": "2024-01-02T03:04:05.123456789+02:00", "tree": "R", "hostname": "h", "paths": ["/x"], "odd": 1}')

@@ -38,6 +38,18 @@ def test_queries_without_sql_run(spark, sf_dir):
     assert {r.action for r in rows} == {"repack", "remove"} and all((r.step == 2) == (r.action == "repack") for r in rows)
 
 
+def test_index_json_reads_bounded_files(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from palimpsest.sources import readers
+
+    seen, rows = [], readers.index_rows
+    monkeypatch.setattr(readers, "index_rows", lambda raw: (seen.append(raw), rows(raw))[1])
+    assert QUERIES["s7_index_json"](spark, "/root/testdata/sf0.01").count() == 53_262
+    blobs = seen[0].select(F.aggregate("packs", F.lit(0), lambda n, p: n + F.size(p.blobs)).alias("n")).agg(F.max("n"), F.sum("n")).first()
+    assert blobs[0] <= 5_000 and blobs[1] == 2 * 53_262
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
