@@ -20,11 +20,21 @@ def short_id(col: Column) -> Column:
     return F.substring(col, 1, 8)
 
 
-def format_bytes(n: Column) -> Column:
-    """Three decimals in the largest binary unit that gives 1 or more, ties to even; plain bytes below 1024."""
-    out = F.format_string("%d B", n.cast("long"))
-    for power, unit in ((10, "KiB"), (20, "MiB"), (30, "GiB"), (40, "TiB")):
-        out = F.when(n >= (1 << power), F.format_string(f"%.3f {unit}", F.bround(n / float(1 << power), 3))).otherwise(out)
+def format_bytes(n: Column, largest: str = "TiB") -> Column:
+    """Three decimals in the largest binary unit that gives 1 or more, up to ``largest``, ties to even; plain bytes below 1024.
+
+    What is rounded is the number as a double, by whole numbers, as a quotient's shortest digits can look like a tie that it isn't.
+    """
+    out, exact = F.format_string("%d B", n.cast("long")), n.cast("double").cast("long")
+    units = ["KiB", "MiB", "GiB", "TiB"]
+    for i, unit in enumerate(units[: units.index(largest) + 1]):
+        power = 10 * (i + 1)
+        low, half = F.lit((1 << power) - 1), 1 << (power - 1)
+        whole, part = F.shiftright(exact, power), exact.bitwiseAND(low) * 1000
+        cut, rest = F.shiftright(part, power), part.bitwiseAND(low)
+        milli = cut + F.when((rest > half) | ((rest == half) & (cut % 2 == 1)), 1).otherwise(0)
+        text = F.format_string(f"%d.%03d {unit}", whole + F.when(milli == 1000, 1).otherwise(0), milli % 1000)
+        out = F.when(n >= (1 << power), text).otherwise(out)
     return out
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import random
 import re
 from fnmatch import fnmatchcase
 
@@ -105,6 +106,16 @@ def one(spark, col):
     return spark.range(1).select(col).first()[0]
 
 
+def test_bytes_round_exactly(spark):
+    rng = random.Random(5)
+    ns = [rng.getrandbits(rng.randrange(1, 63)) for _ in range(500)] + [125 * k << 6 for k in range(1, 200)] + [(1 << 20) - 1, (1 << 30) - 1, 19299647**2, 190315000**2, (1 << 63) - 1]
+    df = spark.createDataFrame([(n,) for n in ns], "n bigint")
+    for units in (["KiB", "MiB"], ["KiB", "MiB", "GiB", "TiB"]):
+        fits = [max((k for k in range(len(units) + 1) if n >= 1 << 10 * k), default=0) for n in ns]
+        want = [f"{float(n) / (1 << 10 * k):.3f} {units[k - 1]}" if k else f"{n} B" for n, k in zip(ns, fits, strict=True)]
+        assert [r[0] for r in df.select(scalar.format_bytes(F.col("n"), units[-1])).collect()] == want
+
+
 def test_scalars(spark):
     L = F.lit
     assert [one(spark, scalar.format_bytes(L(n))) for n in (0, 1023, 1024, 1 << 20, 5 << 40)] == ["0 B", "1023 B", "1.000 KiB", "1.000 MiB", "5.000 TiB"]

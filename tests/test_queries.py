@@ -50,6 +50,15 @@ def test_index_json_reads_bounded_files(spark, monkeypatch):
     assert blobs[0] <= 5_000 and blobs[1] == 2 * 53_262
 
 
+def test_formats_of_large_numbers_match_sql(spark, sf_dir, tmp_path):
+    con = duckdb.connect()
+    ids = "[1023, 1024, 32767, 32768, 99999, 5999999, 19299647, 190315000]"
+    con.execute(f"COPY (SELECT * REPLACE (CAST({ids}[event_id + 1] AS BIGINT) AS event_id) FROM '{sf_dir}/events.parquet' WHERE event_id < len({ids})) TO '{tmp_path}/events.parquet'")
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    want = con.execute(ORACLE_SQL["z_formats"]).fetchall()
+    assert len(want) == 8 and sorted(map(tuple, QUERIES["z_formats"](spark, str(tmp_path)).collect())) == sorted(want)
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
